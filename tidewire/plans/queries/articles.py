@@ -106,7 +106,7 @@ VARIANT_UNION = " UNION ALL ".join(
     f"FROM {{articles}} WHERE publisher IS NOT NULL" for v in labelling.VARIANTS)
 
 
-def _measures(prefix: str) -> str:
+def _measures() -> str:
     return f"""count(*) AS n_total, count(*) FILTER (WHERE {CONFLICT}) AS n_conflict,
   {rr(f'count(*) FILTER (WHERE {CONFLICT})::DOUBLE / count(*)', 8)} AS share,
   {rr(f'avg(CASE WHEN {CONFLICT} THEN {TONE} END)', 6)} AS tone_conflict,
@@ -114,12 +114,21 @@ def _measures(prefix: str) -> str:
 
 
 DAILY_SQL = f"""
-SELECT day, ecosystem, {_measures('')} FROM (
+SELECT day, ecosystem, {_measures()} FROM (
   SELECT *, {LABEL} AS ecosystem FROM {{articles}} WHERE publisher IS NOT NULL)
 WHERE ecosystem <> 'AGGREGATOR' GROUP BY day, ecosystem
 """
 
 
+DAILY_RAW = f"""
+SELECT day, ecosystem, count(*) AS n_total, count(*) FILTER (WHERE {CONFLICT}) AS n_conflict,
+  count(*) FILTER (WHERE {CONFLICT})::DOUBLE / count(*) AS share,
+  avg(CASE WHEN {CONFLICT} THEN {TONE} END) AS tone_conflict, avg({TONE}) AS tone_all
+FROM (SELECT *, {LABEL} AS ecosystem FROM {{articles}} WHERE publisher IS NOT NULL)
+WHERE ecosystem <> 'AGGREGATOR' GROUP BY day, ecosystem
+"""
+
+
 def rounded_daily(df):
     return df.withColumns({
         "share": r(F.col("share"), 8), "tone_conflict": r(F.col("tone_conflict"), 6),
@@ -132,7 +141,7 @@ def daily_label_table(x):
 
 
 @query("D3 B7 K9", f"""
-SELECT day, variant, ecosystem, {_measures('')} FROM ({VARIANT_UNION})
+SELECT day, variant, ecosystem, {_measures()} FROM ({VARIANT_UNION})
 WHERE ecosystem <> 'AGGREGATOR' GROUP BY day, variant, ecosystem
 """)
 def daily_variant_table(x):
