@@ -106,11 +106,19 @@ def t_tail(t: float, dof: float) -> float:
     return beta_tail(dof / (dof + t * t), dof / 2.0, 0.5)
 
 
-@F.pandas_udf("double")
-def f_sf(f: pd.Series, q: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([f_tail(*v) for v in zip(f, q, dof)]).where(lambda s: s.notna(), None)
-
-
-@F.pandas_udf("double")
-def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([t_tail(*v) for v in zip(t, dof)]).where(lambda s: s.notna(), None)
+def f_sf(f: Column, q: Column, dof: Column) -> Column:
+    """P(F(q, dof) > f) for a column of reduced rows."""
+    @F.pandas_udf("double")
+    def tail(fs: pd.Series, qs: pd.Series, dofs: pd.Series) -> pd.Series:
+        out = pd.Series([f_tail(*v) for v in zip(fs, qs, dofs)], dtype="float64")
+        return out.astype(object).where(out.notna(), None)
+    return tail(f, q, dof)
+
+
+def t_two_sided(t: Column, dof: Column) -> Column:
+    """Two-sided t tail for a column of reduced rows."""
+    @F.pandas_udf("double")
+    def tail(ts: pd.Series, dofs: pd.Series) -> pd.Series:
+        out = pd.Series([t_tail(*v) for v in zip(ts, dofs)], dtype="float64")
+        return out.astype(object).where(out.notna(), None)
+    return tail(t, dof)

@@ -510,3 +510,13 @@ def rules(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
         every = every & F.col(k)
     pairs.append(F.struct(F.lit("overall").alias("rule"), every.alias("pass")))
     return wide.select(F.inline(F.array(*pairs)))
+
+
+def sensitivity_summary(
+    grid: DataFrame, family: Sequence[str], p: str = "p_local", alpha: float = 0.05,
+) -> DataFrame:
+    """Per family: cells, nominal hits, survivors of the correction, smallest p."""
+    tested = benjamini_hochberg(grid, p, family, alpha)
+    return tested.groupBy(*family).agg(
+        F.count(p).alias("n_cells"), F.count_if(F.col(p) < alpha).alias("nominal"),
+        F.count_if("survives_bh").alias("survivors"), F.min(p).alias("min_p"))

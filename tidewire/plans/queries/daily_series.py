@@ -13,7 +13,12 @@ from tidewire.plans.registry import query
 from tidewire.plans.sqltext import r, rr
 from tidewire.sources import markets
 
-W = series.by("ticker")
+
+def W():
+    """Window over one ticker by date."""
+    return series.by("ticker")
+
+
 RET = """SELECT ticker, date, adjclose,
   CASE WHEN adjclose > 0 AND lag(adjclose) OVER w > 0
        THEN 100 * ln(adjclose / lag(adjclose) OVER w) END AS ret
@@ -22,7 +27,7 @@ FRIDAY = "(d + CAST((12 - dayofweek(d)) % 7 AS INTEGER))"
 
 
 def returns(x):
-    return x.view("prices").withColumn("ret", series.log_return(F.col("adjclose"), W))
+    return x.view("prices").withColumn("ret", series.log_return(F.col("adjclose"), W()))
 
 
 def rounded(df, digits, *columns):
@@ -50,7 +55,7 @@ FROM ({RET}) WINDOW f AS (PARTITION BY ticker ORDER BY date
   ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)
 """)
 def prior_volatility(x):
-    out = returns(x).withColumn("rv", series.prior_volatility(F.col("ret"), W, 20))
+    out = returns(x).withColumn("rv", series.prior_volatility(F.col("ret"), W(), 20))
     return rounded(out.select("ticker", "date", "rv"), 6, "rv")
 
 
@@ -232,9 +237,9 @@ FROM ({RET}) WINDOW w AS (PARTITION BY ticker ORDER BY date),
 """)
 def forward_targets(x):
     out = returns(x).withColumns({
-        "y5": series.forward_sum(F.col("ret"), W, 5),
-        "change5": series.forward_change(F.col("adjclose"), W, 5),
-        "lead1": F.lead("ret", 1).over(W)})
+        "y5": series.forward_sum(F.col("ret"), W(), 5),
+        "change5": series.forward_change(F.col("adjclose"), W(), 5),
+        "lead1": F.lead("ret", 1).over(W())})
     return rounded(rounded(out.select("ticker", "date", "y5", "change5", "lead1"), 6, "y5", "lead1"),
                    4, "change5")
 
@@ -255,10 +260,10 @@ WINDOW w AS (PARTITION BY ticker ORDER BY date)
 """.replace("greatest(v, 1e-12)", "CASE WHEN v IS NOT NULL THEN greatest(v, 1e-12) END"))
 def har_predictors(x):
     rows = returns(x).withColumn("sq", F.col("ret") * F.col("ret"))
-    rows = rows.withColumn("v", series.forward_sum(F.col("sq"), W, 5))
+    rows = rows.withColumn("v", series.forward_sum(F.col("sq"), W(), 5))
     rows = rows.withColumn("lv", F.ln(F.when(F.col("v").isNotNull(),
                                              F.greatest(F.col("v"), F.lit(1e-12)))))
-    out = rows.withColumns(series.har_terms(F.col("lv"), W, 5))
+    out = rows.withColumns(series.har_terms(F.col("lv"), W(), 5))
     return rounded(out.select("ticker", "date", "l1", "l5", "l22"), 6, "l1", "l5", "l22")
 
 
@@ -293,7 +298,7 @@ SELECT ticker, date, {rr('100 * exp(sum(ln(1 + ret / 1000 / 100)) OVER (PARTITIO
 """)
 def compounded_index(x):
     rows = returns(x).filter("ret IS NOT NULL")
-    out = rows.withColumn("level", series.compounded(F.col("ret") / 1000.0, W))
+    out = rows.withColumn("level", series.compounded(F.col("ret") / 1000.0, W()))
     return rounded(out.select("ticker", "date", "level"), 5, "level")
 
 
@@ -372,7 +377,7 @@ SELECT ticker, date, {rr('ret - lag(ret) OVER (PARTITION BY ticker ORDER BY date
 """)
 def extremes_dropped(x):
     kept = series.drop_extremes(returns(x), ["ticker"], "ret", 10)
-    out = kept.withColumn("d", series.change(F.col("ret"), W))
+    out = kept.withColumn("d", series.change(F.col("ret"), W()))
     return rounded(out.select("ticker", "date", "d"), 6, "d")
 
 
@@ -399,7 +404,7 @@ def weekly_resample(x):
         x.view("risk").select("date", "gpr"), "date").join(
         x.view("market").filter("vix < 25.5").selectExpr("date", "IF(vix > 25, vix, NULL) AS vix"), "date")
     out = series.weekly(daily_rows, ["ticker"], mean=["gpr"], total=["ret"], last=["vix"])
-    out = out.withColumn("d_gpr", series.change(F.col("gpr"), W))
+    out = out.withColumn("d_gpr", series.change(F.col("gpr"), W()))
     return rounded(out.select(F.col("date").alias("week"), "gpr", "ret", "vix", "d_gpr"),
                    6, "gpr", "ret", "d_gpr")
 
