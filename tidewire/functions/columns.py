@@ -103,6 +103,15 @@ def clip(x: Column | str, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
+def all_known(names: Sequence[str]) -> Column:
+    """No NULL among the named numeric columns.
+
+    Apply it to stored columns. Over dozens of derived ones, the optimizer rewrites the
+    test once per combination of their aliases, and planning time explodes.
+    """
+    return F.forall(F.array(*[F.col(n).cast("double") for n in names]), lambda v: v.isNotNull())
+
+
 def positive_log(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 

@@ -19,7 +19,7 @@ def common_frame(df: DataFrame, y: str, widest: Sequence[str], cell: Sequence[st
                  least: int = 400) -> DataFrame:
     """Complete cases of the widest feature set, so every set races on the same rows.
     Cells under ``least`` rows are left out."""
-    kept = df.dropna(subset=[y, *widest])
+    kept = durable(df).filter(c.all_known([y, *widest]))
     sized = kept.withColumn("_n", F.count("*").over(series.whole(cell)))
     return sized.filter(F.col("_n") >= least).drop("_n")
 
