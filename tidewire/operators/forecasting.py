@@ -100,9 +100,11 @@ def predictor_grid(
     return sized.filter(F.col("_n") >= least).drop("_n")
 
 
-def combine(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean and median of the known forecasts of a day; a day without any drops out."""
+def combine(forecasts: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Mean and median of the known forecasts of a day; a day without any drops out.
+    ``keep`` names columns that are constant within a key."""
     out = forecasts.groupBy(*keys).agg(
+        *[F.max(k).alias(k) for k in keep],
         F.avg("forecast").alias("combination_mean"),
         F.percentile("forecast", 0.5).alias("combination_median"))
     return out.filter(F.col("combination_mean").isNotNull())
@@ -187,6 +189,8 @@ def tree_forecasts(
         scored = learner.fit(train).transform(test).select(
             *cell, "date", "pos", F.col("label").alias(y), F.col("prediction").alias("forecast"))
         parts = scored if parts is None else parts.unionByName(scored)
+    if parts is None:
+        raise ValueError("no held-out rows to forecast")
     return parts
 
 

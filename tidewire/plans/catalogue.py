@@ -7,7 +7,7 @@ import importlib
 from tidewire.plans.registry import REGISTRY, Query
 
 _MODULES = [
-    "articles", "sources", "daily_series", "regressions",
+    "articles", "sources", "daily_series", "regressions", "forecasts", "audits",
 ]
 
 
