@@ -41,13 +41,12 @@ def is_conflict(locations: Column | str, marks: Sequence[str] = fixed.CONFLICT_M
 
 def number(c: Column | str) -> Column:
     """Text to double, NULL for anything that is not a number (NaN included)."""
-    v = _col(c).try_cast("double")
-    return F.when(~F.isnan(v), v)
+    return F.nanvl(_col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def lead_tone(v2tone: Column | str) -> Column:
     """First comma field as a number."""
-    return number(F.try_element_at(F.split(_col(v2tone), ","), F.lit(1)))
+    return number(F.substring_index(_col(v2tone), ",", 1))
 
 
 def has_theme(themes: Column | str, codes: Sequence[str]) -> Column:

@@ -31,8 +31,10 @@ def coverage_measures() -> list[Column]:
 
 def daily_labels(articles: DataFrame, variant: str = "baseline") -> DataFrame:
     """(day, ecosystem): volume, conflict volume, its share, and mean tones."""
-    labelled = labelling.with_label(_facts(articles), variant)
-    kept = labelling.exclude_labels(labelled)
+    facts = _facts(articles)
+    if variant != "with_aggregators":
+        facts = labelling.without_aggregators(facts)
+    kept = labelling.with_label(facts, variant)
     return kept.groupBy("day", "ecosystem").agg(*coverage_measures())
 
 
@@ -47,7 +49,7 @@ def daily_variants(articles: DataFrame, variants: Sequence[str] = labelling.VARI
 
 def daily_threat_act(articles: DataFrame) -> DataFrame:
     """(day, ecosystem): act and threat counts and shares within conflict coverage."""
-    conflict = articles.filter(
+    conflict = labelling.without_aggregators(articles).filter(
         F.col("publisher").isNotNull() & F.col("themes").isNotNull() & c.is_conflict("locations")
     ).withColumns({
         "is_act": c.has_theme("themes", fixed.ACT_THEMES),

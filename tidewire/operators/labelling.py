@@ -42,8 +42,11 @@ def _tests(tier: str, domain: Column, lang: Column) -> list[tuple[Column, str]]:
     elif tier == "register":
         found = [domain.isin(_REGISTER[name]) for name in labels]
     elif tier == "country":
+        # The listed codes are plain lower-case letters, so the text after the last dot
+        # decides membership without a regular expression per row.
+        last = F.substring_index(domain, ".", -1)
         found = [domain.endswith(".ua"), domain.endswith(".ru"),
-                 c.tld(domain).isin(fixed.WEST_TLDS)]
+                 domain.contains(".") & last.isin(fixed.WEST_TLDS)]
     else:
         found = [lang.isNull(), lang == "ukr", lang == "rus"]
     return list(zip(found, labels))
@@ -67,8 +70,16 @@ def label(domain: Column | str, lang: Column | str, variant: str = "baseline") -
 
 
 def with_label(articles: DataFrame, variant: str = "baseline") -> DataFrame:
-    lang = c.src_lang("translation_info")
-    return articles.withColumn("ecosystem", label("publisher", lang, variant))
+    """Adds ``ecosystem``. The language is a column of its own, so it is read once per row."""
+    tagged = articles.withColumn("src_lang", c.src_lang("translation_info"))
+    return tagged.withColumn("ecosystem", label("publisher", "src_lang", variant)).drop("src_lang")
+
+
+def without_aggregators(articles: DataFrame) -> DataFrame:
+    """Drop aggregators by name. The test reaches the scan, while a test on the label would
+    make every row work out its label twice."""
+    listed = F.coalesce(F.col("publisher").isin(fixed.AGGREGATORS), F.lit(False))
+    return articles.filter(~listed)
 
 
 def with_variants(articles: DataFrame, variants: Sequence[str] = VARIANTS) -> DataFrame:

@@ -23,8 +23,11 @@ def perception_indices(
     picks = [
         F.max(F.when(F.col("ecosystem") == e, F.col(v))).alias(f"{p}_{e}")
         for p, v in measures.items() for e in labels]
-    kept = daily.filter(F.col("ecosystem").isin(list(labels)))
-    return kept.groupBy(F.col("day").alias("date")).agg(*picks)
+    # The label test sits above the aggregate: below it, the optimizer would push it into
+    # the fact scan and every article would work out its label twice.
+    wanted = F.count_if(F.col("ecosystem").isin(list(labels)))
+    wide = daily.groupBy(F.col("day").alias("date")).agg(*picks, wanted.alias("_n"))
+    return wide.filter(F.col("_n") > 0).drop("_n")
 
 
 def threat_act_indices(daily: DataFrame, labels: Sequence[str] = fixed.CORE_LABELS) -> DataFrame:

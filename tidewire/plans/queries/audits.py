@@ -163,7 +163,7 @@ def equity_panel(x):
 
 @query("K4", f"""
 WITH i AS (SELECT date, max(adjclose) FILTER (WHERE ticker = 'T1') AS a, max(adjclose) FILTER (WHERE ticker = 'T2') AS b
-  FROM {{prices}} GROUP BY 1),
+  FROM {{prices}} WHERE ticker IN ('T1', 'T2') GROUP BY 1),
 q AS (SELECT *, 100 * ln(a / lag(a) OVER w) AS ra, 100 * ln(b / lag(b) OVER w) AS rb FROM i WINDOW w AS (ORDER BY date)),
 j AS (SELECT q.*, gpr_act, gpr_threat, spx, vix FROM q LEFT JOIN {{risk}} USING (date) LEFT JOIN {{market}} USING (date)
   WHERE date BETWEEN DATE '2018-01-01' AND DATE '2023-06-30'),
@@ -202,7 +202,7 @@ def model_panel_rows(x):
 def _feed(x):
     """Article records as a stream: the batch mapping written once, then read as files."""
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    batch = x.view("articles").withColumn("ts", F.col("day").cast("timestamp_ntz"))
+    batch = x.view("articles").withColumn("ts", F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400))
     batch.repartition(4).write.mode("overwrite").parquet(f"{folder}/in")
     return batch, feeds.read_feed(x.spark, f"{folder}/in", batch.schema, 1), folder
 
@@ -219,8 +219,10 @@ def streamed_daily_labels(x):
     """The daily label table from micro-batches upserted by (day, ecosystem)."""
     _, feed, folder = _feed(x)
     counts = feeds.daily_counts(feed, "4000 days")
-    feeds.upsert_stream(counts, f"{folder}/table", f"{folder}/state", ["day", "ecosystem"]).trigger(
-        availableNow=True).start().awaitTermination()
+    counts = counts.withColumn("month", F.trunc("day", "month"))
+    feeds.upsert_stream(
+        counts, f"{folder}/table", f"{folder}/state", ["day", "ecosystem"], "month",
+    ).trigger(availableNow=True).start().awaitTermination()
     return feeds.ratios(x.spark.read.parquet(f"{folder}/table"))
 
 

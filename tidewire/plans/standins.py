@@ -174,6 +174,19 @@ def twin(text: str) -> str:
     return out
 
 
+def spread(df: DataFrame, least_bytes: int = 1 << 22) -> DataFrame:
+    """Spread a table that arrives in fewer splits than there are cores.
+
+    A file with a single row group is one task however many cores wait. Tables with enough
+    splits, and small ones, pass through untouched, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) >= least_bytes else df
+
+
 class Inputs:
     """The driver tables and mappings of one folder."""
 
@@ -185,7 +198,7 @@ class Inputs:
         return f"{self.folder}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return spread(self.spark.read.parquet(self.path(name)))
 
     def view(self, name: str) -> DataFrame:
         text = STANDINS[name]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidewire.operators.daily import _facts
@@ -16,18 +16,24 @@ def read_feed(spark: SparkSession, path: str, schema: T.StructType, files_per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _utc_day(ts: Column) -> Column:
+    """The UTC calendar day of an instant, whatever the session time zone."""
+    days = F.floor(F.unix_seconds(ts) / 86400).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)
+
+
 def daily_counts(feed: DataFrame, delay: str = "2 days") -> DataFrame:
     """Additive daily state per label: counts and tone sums; late rows within ``delay``
     still count. Ratios are taken in :func:`ratios`, so state stays small and mergeable."""
-    facts = labelling.with_label(_facts(feed)).withWatermark("ts", delay)
-    kept = labelling.exclude_labels(facts)
+    facts = labelling.without_aggregators(_facts(feed)).withWatermark("ts", delay)
+    kept = labelling.with_label(facts)
     conflict = F.col("is_conflict")
     return kept.groupBy(F.window("ts", "1 day"), "ecosystem").agg(
         F.count("*").alias("n_total"), F.count_if(conflict).alias("n_conflict"),
         F.sum("tone").alias("tone_sum"), F.count("tone").alias("tone_n"),
         F.sum(F.when(conflict, F.col("tone"))).alias("tone_conflict_sum"),
         F.count(F.when(conflict, F.col("tone"))).alias("tone_conflict_n"),
-    ).select(F.col("window.start").cast("date").alias("day"), "ecosystem", "n_total", "n_conflict",
+    ).select(_utc_day(F.col("window.start")).alias("day"), "ecosystem", "n_total", "n_conflict",
              "tone_sum", "tone_n", "tone_conflict_sum", "tone_conflict_n")
 
 
