@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
 from tidewire.operators import audit, daily, neardup, series
 from tidewire.plans import panels
-from tidewire.plans.queries.daily_series import returns, rounded
+from tidewire.plans.queries.articles import DAILY_RAW, DAILY_SQL, rounded_daily
+from tidewire.plans.queries.daily_series import PIVOT, RET, returns, rounded
 from tidewire.plans.queries.sources import HOST
 from tidewire.plans.registry import query
 from tidewire.plans.sqltext import r, rr
+from tidewire.session import scratch
+from tidewire.sources import tables
 from tidewire.streaming import feeds
 
 AUDIT_SQL = """
@@ -183,11 +184,88 @@ def index_only_panel(x):
                    6, "r_a", "vol_b", "r_mkt", "lvix")
 
 
-@query("K5")
+_CORE = "ecosystem IN ('UA', 'RU_STATE', 'RU_INDEP', 'WEST', 'EN_GLOBAL')"
+_NEWS_COLS = [f"{p}_{e}" for p in ("att", "tone") for e in fixed.CORE_LABELS]
+
+
+@query("K5", f"""
+WITH w AS (SELECT day AS date, {PIVOT} FROM ({DAILY_RAW}) WHERE {_CORE} GROUP BY day),
+r AS (SELECT date, {', '.join(f"max(ret) FILTER (WHERE ticker = '{t}') AS {t}" for t in ('T1', 'T2', 'T3'))} FROM ({RET}) GROUP BY 1),
+j AS (SELECT * FROM w JOIN r USING (date) JOIN (SELECT date, vix FROM {{market}}) USING (date))
+SELECT date, vix, {', '.join(f'{rr(k, 6)} AS {k}' for k in (*_NEWS_COLS, 'T1', 'T2', 'T3'))},
+  {rr('lag(ln(vix)) OVER (ORDER BY date)', 6)} AS lvix FROM j
+""")
 def asset_panel(x):
     """News indices, one return column per asset, and the lagged log level."""
     wide = panels.perception_indices(daily.daily_labels(x.view("articles")))
-    return panels.asset_panel(wide, returns(x), ["T1", "T2", "T3"], x.view("market").select("date", "vix"))
+    out = panels.asset_panel(wide, returns(x), ["T1", "T2", "T3"], x.view("market").select("date", "vix"))
+    out = out.drop(*[f"vol_{e}" for e in fixed.CORE_LABELS])
+    return rounded(out, 6, *_NEWS_COLS, "T1", "T2", "T3", "lvix")
+
+
+@query("K7 E8", f"""
+WITH w AS (SELECT day AS date, {PIVOT} FROM ({DAILY_RAW}) WHERE {_CORE} GROUP BY day),
+j AS (SELECT date, "att_UA", "tone_WEST", gpr_act, gpr_threat, lag(date) OVER (ORDER BY date) AS p FROM (
+  SELECT * FROM w JOIN (SELECT * FROM {{risk}} WHERE gpr_act < 26) USING (date)))
+SELECT date, {rr('"att_UA"', 6)} AS "att_UA", {rr('"tone_WEST"', 6)} AS "tone_WEST", gpr_act, gpr_threat,
+  CAST(sum(CASE WHEN date - p > 2 THEN 1 ELSE 0 END) OVER (ORDER BY date) AS INTEGER) AS block FROM j
+""")
+def outcome_panel(x):
+    wide = panels.perception_indices(daily.daily_labels(x.view("articles")))
+    both = wide.join(x.view("risk").filter("gpr_act < 26"), "date").withColumn("k", F.lit("p"))
+    out = series.blocks(both, "k", 2).select(
+        "date", "att_UA", "tone_WEST", "gpr_act", "gpr_threat", "block")
+    return rounded(out, 6, "att_UA", "tone_WEST")
+
+
+@query("A16", DAILY_SQL)
+def parquet_sink_round_trip(x):
+    """The daily label table written by month and read back."""
+    folder = scratch(x.spark)
+    table = daily.daily_labels(x.view("articles")).withColumn("month", F.trunc("day", "month"))
+    tables.write_partitioned(table, folder, ["month"])
+    return rounded_daily(x.spark.read.parquet(folder).drop("month"))
+
+
+@query("F5", """
+SELECT date FROM {prices} WHERE ticker = 'T1' INTERSECT SELECT date FROM {prices} WHERE ticker = 'T2'
+""")
+def common_days(x):
+    p = x.view("prices")
+    return p.filter("ticker = 'T1'").select("date").intersect(p.filter("ticker = 'T2'").select("date"))
+
+
+_GRID = {"2017-19 episodes": ("2017-04-23", "2019-10-21"), "all ingested days": None}
+
+
+@query("C15", f"""
+SELECT "window", target, count(*) AS n, count(y) AS n_known, min(date) AS first_day, {rr('avg(y)', 6)} AS mean_y FROM (
+  SELECT w AS "window", ticker AS target, date, ret AS y FROM ({RET}) CROSS JOIN (
+    SELECT '2017-19 episodes' AS w, DATE '2017-04-23' AS a, DATE '2019-10-21' AS b
+    UNION ALL SELECT 'all ingested days', DATE '1900-01-01', DATE '2100-01-01') WHERE date BETWEEN a AND b
+  AND ticker IN ('T1', 'T2')) GROUP BY 1, 2 HAVING count(y) >= 40
+""")
+def grid_cells(x):
+    """(window, target) cells and the days each one uses."""
+    from tidewire.operators import grids
+    rows = grids.in_windows(returns(x).filter("ticker IN ('T1', 'T2')"), _GRID).withColumn("target", F.col("ticker"))
+    kept = grids.enough_targets(rows.withColumn("y", F.col("ret")), ["window", "target"])
+    return rounded(kept.groupBy("window", "target").agg(
+        F.count("*").alias("n"), F.count("y").alias("n_known"), F.min("date").alias("first_day"),
+        F.avg("y").alias("mean_y")), 6, "mean_y")
+
+
+@query("H1 I18", """
+WITH p AS (SELECT series, date, CAST(row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS INTEGER) AS pos,
+    CAST(floor(count(*) OVER (PARTITION BY series) * 0.75) AS INTEGER) AS ts FROM {rates})
+SELECT series, date, pos, ts AS test_start,
+  CASE WHEN pos >= ts THEN CAST(ts + floor((pos - ts) / 21.0) * 21 AS INTEGER) END AS use_step,
+  CAST(ts + greatest(0, ceil((pos + 5 - ts) / 21.0)) * 21 AS INTEGER) AS train_step FROM p
+""")
+def walk_forward_cutoffs(x):
+    from tidewire.operators import forecasting
+    out = forecasting.walk_forward(x.view("rates"), ["series"], 5, refit=21)
+    return out.select("series", "date", "pos", "test_start", "use_step", "train_step")
 
 
 @query("K6")
@@ -201,7 +279,7 @@ def model_panel_rows(x):
 
 def _feed(x):
     """Article records as a stream: the batch mapping written once, then read as files."""
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = scratch(x.spark)
     batch = x.view("articles").withColumn("ts", F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400))
     batch.repartition(4).write.mode("overwrite").parquet(f"{folder}/in")
     return batch, feeds.read_feed(x.spark, f"{folder}/in", batch.schema, 1), folder
@@ -214,7 +292,7 @@ def _drain(stream, mode: str, name: str, folder: str):
     return stream.sparkSession.table(name)
 
 
-@query("J1 J2")
+@query("J1 J2", DAILY_SQL)
 def streamed_daily_labels(x):
     """The daily label table from micro-batches upserted by (day, ecosystem)."""
     _, feed, folder = _feed(x)
@@ -223,18 +301,26 @@ def streamed_daily_labels(x):
     feeds.upsert_stream(
         counts, f"{folder}/table", f"{folder}/state", ["day", "ecosystem"], "month",
     ).trigger(availableNow=True).start().awaitTermination()
-    return feeds.ratios(x.spark.read.parquet(f"{folder}/table"))
+    return rounded_daily(feeds.ratios(x.spark.read.parquet(f"{folder}/table")))
 
 
-@query("J3")
+@query("J3", """
+SELECT publisher, min(day) AS first_day, max(day) + 7 AS closed_day, count(*) AS n FROM (
+  SELECT publisher, day, sum(CASE WHEN day - p <= 7 THEN 0 ELSE 1 END) OVER (
+    PARTITION BY publisher ORDER BY day, article_id, rn) AS block FROM (
+    SELECT *, lag(day) OVER (PARTITION BY publisher ORDER BY day, article_id, rn) AS p FROM (
+      SELECT *, row_number() OVER () AS rn FROM {articles}))) GROUP BY publisher, block
+""")
 def streamed_activity_blocks(x):
     _, feed, folder = _feed(x)
-    return _drain(feeds.activity_blocks(feed, "publisher", "7 days", "4000 days"),
-                  "complete", f"blocks_{folder.split('-')[-1]}", folder)
+    out = _drain(feeds.activity_blocks(feed, "publisher", "7 days", "4000 days"),
+                 "complete", f"blocks_{folder.split('-')[-1]}", folder)
+    return out.select("publisher", feeds._utc_day(F.col("start")).alias("first_day"),
+                      feeds._utc_day(F.col("end")).alias("closed_day"), "n")
 
 
-@query("J4")
+@query("J4", "SELECT DISTINCT url FROM {articles}")
 def streamed_distinct_urls(x):
     _, feed, folder = _feed(x)
     urls = feeds.distinct_urls(feed.select("ts", "url"), "url", "4000 days")
-    return _drain(urls, "append", f"urls_{folder.split('-')[-1]}", folder)
+    return _drain(urls, "append", f"urls_{folder.split('-')[-1]}", folder).select("url")

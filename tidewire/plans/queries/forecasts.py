@@ -198,7 +198,7 @@ def economic_value(x):
                    4, "sharpe_model", "sharpe_benchmark")
 
 
-@query("I1", f"""
+@query("I1 F3", f"""
 SELECT kind, ticker, n, {rr('mean_d', 4)} AS mean_d, {rr('''mean_d / sqrt(lrv / n)
   * sqrt((n + 1 - 10 + 20.0 / n) / n)''', 4)} AS dm_stat FROM (
   SELECT kind, ticker, count(*) AS n, max(mean_d) AS mean_d, (sum(e * e)

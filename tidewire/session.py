@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,28 @@ def local_session(app: str = "tidewire", cpus: str | None = None) -> SparkSessio
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, which survives the loss of executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, seen by every machine.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder of its own.
+    Only a local session without that setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name inside the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/tidewire-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, which survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
