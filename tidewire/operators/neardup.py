@@ -42,15 +42,17 @@ def _signer(size: int, n_perm: int, seed: int):
 
 def near_duplicates(
     texts: DataFrame, key: str, text: str, size: int = 5, n_perm: int = 128, bands: int = 32,
-    threshold: float = 0.7, min_length: int = 20, seed: int = 1, max_rounds: int = 50,
+    threshold: float = 0.7, min_length: int = 20, seed: int = 1,
 ) -> DataFrame:
-    """(key, duplicate_of, jaccard): texts at or above the threshold with an earlier text.
+    """(key, duplicate_of, jaccard): texts at or above the threshold with an earlier text
+    that still stands in one of their buckets.
 
     Identical texts collapse first, so a group of copies of any size is one row from then
     on. Each distinct text joins its bands; within a band bucket every member is checked
     against the bucket's first text only, exactly, on whole shingle sets, so a bucket gives
     one pair per member, never all pairs. Members that fail the check stay and are bucketed
-    again without that first text, until no bucket has two members left.
+    again without that first text, until no bucket has two members left. Every round
+    settles at least one text per bucket, so the loop ends without a cap.
     """
     rows = n_perm // bands
     long = texts.filter(F.length(text) >= min_length).select(
@@ -64,7 +66,7 @@ def near_duplicates(
     buckets = durable(base.select("first", F.explode(band).alias("bucket")))
     sets = base.select("first", "codes")
     found = None
-    for _ in range(max_rounds):
+    while True:
         # The first text of each bucket, by aggregate; its members by equality join.
         leaders = buckets.groupBy("bucket").agg(
             F.min("first").alias("leader"), F.count("*").alias("n")).filter("n > 1")
@@ -86,8 +88,6 @@ def near_duplicates(
         led = leaders.select("bucket", F.col("leader").alias("first"))
         buckets = durable(buckets.join(best, "first", "left_anti").join(
             led, ["bucket", "first"], "left_anti"))
-    else:
-        raise RuntimeError("near-duplicate buckets did not settle; raise max_rounds")
     exact = long.join(copies.select("hash", "first"), F.sha2("text", 256) == F.col("hash")).select(
         F.col("key"), "first")
     same = exact.filter(F.col("key") != F.col("first")).select(
