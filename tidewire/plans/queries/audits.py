@@ -313,7 +313,7 @@ SELECT publisher, min(day) AS first_day, max(day) + 7 AS closed_day, count(*) AS
 """)
 def streamed_activity_blocks(x):
     _, feed, folder = _feed(x)
-    out = _drain(feeds.activity_blocks(feed, "publisher", "7 days", "4000 days"),
+    out = _drain(feeds.activity_blocks(feed, "publisher", "168 hours", "4000 days"),
                  "complete", f"blocks_{folder.split('-')[-1]}", folder)
     return out.select("publisher", feeds._utc_day(F.col("start")).alias("first_day"),
                       feeds._utc_day(F.col("end")).alias("closed_day"), "n")

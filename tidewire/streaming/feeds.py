@@ -57,7 +57,7 @@ def upsert_stream(
         "checkpointLocation", checkpoint).foreachBatch(merge)
 
 
-def activity_blocks(feed: DataFrame, key: str, gap: str = "7 days", delay: str = "2 days") -> DataFrame:
+def activity_blocks(feed: DataFrame, key: str, gap: str = "168 hours", delay: str = "2 days") -> DataFrame:
     """Blocks of activity separated by more than ``gap``."""
     return feed.withWatermark("ts", delay).groupBy(
         key, F.session_window("ts", gap)).agg(F.count("*").alias("n")).select(
