@@ -15,13 +15,13 @@ only the named columns are read, whatever else the table holds.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewire.llm.common import file_bytes, small_batches
@@ -134,15 +134,26 @@ class PieceModel:
         # Merges never cross the start of a run of marks if no piece has a mark after another character.
         self.parted = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.plain_ends = not any("\n" in p for p in self.ids)
-        ends = "\n" if self.plain_ends else ""
-        gap = (f" {MARK}" if self.escape else MARK) + ends
-        self.segments = (regex.compile(f"[ {MARK}]+[^{gap}]*|[^{gap}]+" + ("|\n" if ends else "")) if self.escape
-                         else regex.compile(f"{MARK}+[^{gap}]*|[^{gap}]+" + ("|\n" if ends else "")))
+        self.segments = re.compile(self._cuts()).findall
         self.cache: dict[str, bytes] = {}
         self.packed: dict[str, bytes] = {}  # of single pieces and characters
         self.cache_size = cache_size
         self.identity = not self.map.units and not self.squeeze
 
+    def _cuts(self) -> str:
+        """A pattern of segments that no merge can join: cut before each run of marks, at line
+        ends, and before punctuation that no piece has after what stands there."""
+        before: dict[str, set[str]] = {}
+        for piece in self.ids:
+            for x, y in zip(piece, piece[1:]):
+                before.setdefault(y, set()).add(x)
+        apart = [c for c in ".,;:!?)\"'|#$%&*" if not any(x.isalnum() for x in before.get(c, ()))]
+        joins = {x for c in apart for x in before.get(c, ())} | {" ", MARK}
+        mark, gap = (f" {MARK}" if self.escape else MARK), "\n" if self.plain_ends else ""
+        cut, held = "".join(map(re.escape, apart)), "".join(map(re.escape, sorted(joins)))
+        run = f"[^{mark}{gap}{cut}]+" + (f"|(?<=[{held}])[{cut}]" if cut else "")
+        return f"[{mark}]+(?:{run})*|(?:{run})+" + (f"|[{cut}](?:{run})*" if cut else "") + ("|\n" if gap else "")
+
     # -- normalisation ---------------------------------------------------------------------
     def normalised(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and for each of its characters the source byte where what it
@@ -261,7 +272,7 @@ class PieceModel:
         norm, begins = self.normalised(text)
         if not norm:
             return _NONE, _NONE, _NONE
-        mark = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        mark = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         ids, starts, ends, at = [], [], [], 0
         for segment in mark.findall(norm) if self.parted else [norm]:
             byte = 0
@@ -279,7 +290,7 @@ class PieceModel:
         return np.array(ids, np.int32), np.array(starts, np.int32), np.array(ends, np.int32)
 
     def _encode_direct(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = self.segments.findall(text)
+        parts = self.segments(text)
         first = self._direct(parts.pop(0), dummy=True) if self.dummy else b""
         get, miss = self.cache.get, self._direct
         packed = np.frombuffer(first + b"".join([get(p) or miss(p) for p in parts]), dtype="<u4")
@@ -356,15 +367,13 @@ def decoded(coded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids",
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [coder.decode(row or [], spellings) for row in part.column("ids").to_pylist()]
-                columns = [part.column(c) for c in part.schema.names if c != "ids"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())],
-                                                 [*(c for c in part.schema.names if c != "ids"), "text"])
-
-    source = coded.select(F.col(key).alias("key"), *keep, F.col(ids).alias("ids"))
-    fields = [f for f in source.schema.fields if f.name != "ids"]
-    schema = T.StructType([*fields, T.StructField("text", T.StringType())])
-    return source.mapInArrow(decode, schema).withColumnRenamed("key", key)
+                texts = [coder.decode(row or [], spellings) for row in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names)
+
+    source = coded.select(F.col(ids).alias("_ids"), key, *keep)
+    names = [*source.columns[1:], "text"]
+    schema = T.StructType([*source.schema.fields[1:], T.StructField("text", T.StringType())])
+    return source.mapInArrow(decode, schema)
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:

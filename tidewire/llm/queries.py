@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewire.llm import attribution, decontamination, hilbert, packing, pages, pieces, replies
+from tidewire.llm import (
+    attribution, decontamination, hilbert, kneser_ney, neardup, outliers, packing, pages, pieces, replies,
+)
 from tidewire.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +20,12 @@ def _query(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return plan
 
 
+@_query
+def op1_kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
+    model = kneser_ney.QualityModel(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return model.judged().drop("row_key")
+
+
 @_query
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -47,6 +55,29 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+@_query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.NearDuplicates(table(spark, folder, "documents"), size=2).result()
+    return found.select("doc_id", "n_shingles", "component_id",
+                        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+ORACLE["op4_near_duplicates"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i:i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i
+        FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+pairs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, pairs.b FROM r JOIN pairs ON pairs.a = r.at)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.low AS component_id, d.doc_id = m.low AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(at) AS low FROM r GROUP BY 1) m ON m.doc_id = d.doc_id
+"""
+
+
 @_query
 def op5_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.sharded(table(spark, folder, "documents"))
@@ -59,6 +90,11 @@ def op6_token_attribution(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), rule="most")
 
 
+@_query
+def op7_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judged(table(spark, folder, "documents")).drop("row_key")
+
+
 @_query
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = pages.extracted(table(spark, folder, "pages"))
