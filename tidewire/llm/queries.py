@@ -71,10 +71,10 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 pairs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, pairs.b FROM r JOIN pairs ON pairs.a = r.at)
+r AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, pairs.b FROM r JOIN pairs ON pairs.a = r.node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.low AS component_id, d.doc_id = m.low AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
-JOIN (SELECT doc_id, min(at) AS low FROM r GROUP BY 1) m ON m.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(node) AS low FROM r GROUP BY 1) m ON m.doc_id = d.doc_id
 """
 
 
