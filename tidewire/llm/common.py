@@ -71,3 +71,11 @@ def small_batches(
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many marks behind it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewire.llm.common import bound, lower_ascii, split_words
+from tidewire.llm.common import bound, lower_ascii, split_words, unused
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing: all ASCII but digits and letters
 
@@ -114,17 +114,18 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> D
 
 def clean_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """docs with every hit word and what parts it from the next one taken out of ``text``."""
+    spans = unused(docs, "_spans")
     found = hits(docs, benchmark, width).select(
-        F.col("doc_id").alias("_hit"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+        F.col("doc_id").alias("_hit"), F.col("text_key").alias("_key"), F.col("spans").alias(spans))
     same = docs["doc_id"].eqNullSafe(found["_hit"]) & (F.xxhash64(docs["text"]) == found["_key"])
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-    head = F.regexp_extract("text", f"^({gap})", 1)
-    chunks = F.regexp_extract_all("text", F.lit(f"({word}{gap})"), 1)
-    hit = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1))))
+    head = F.regexp_extract(docs["text"], f"^({gap})", 1)
+    chunks = F.regexp_extract_all(docs["text"], F.lit(f"({word}{gap})"), 1)
+    hit = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1))))
     # The kept chunks are the places that are not hit.
     places = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), hit))
     left = bound(chunks, lambda c: F.concat(head, F.array_join(F.transform(places, lambda i: c[i]), "")))
     joined = docs.join(found, same, "left")
-    return joined.select(*(F.when(F.size("_spans") > 0, left).otherwise(docs["text"]).alias("text")
+    return joined.select(*(F.when(F.size(spans) > 0, left).otherwise(docs["text"]).alias("text")
                            if c == "text" else docs[c] for c in docs.columns))

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewire.llm.common import LOWER, UPPER, small_batches, written
+from tidewire.llm.common import LOWER, UPPER, small_batches, unused, written
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWERED = str.maketrans(UPPER, LOWER)
@@ -295,11 +295,12 @@ def kept_documents(docs: DataFrame, near: NearDuplicates) -> DataFrame:
     told apart by their sets, and of equal ones any is kept.
     """
     rows = near.result()
-    ids = written(rows.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.count("*").alias("_n"), F.max(F.col("lead") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_kept")))
-    same = docs["doc_id"].eqNullSafe(F.col("_id"))
-    once = docs.join(ids.filter("_n = 1 AND _kept"), same, "left_semi")
-    if not ids.filter("_n > 1").limit(1).count():
+    key, lead, cid, row = (unused(docs, c) for c in ("_id", "_lead", "_cid", "_row"))
+    ids = written(rows.groupBy(F.col("doc_id").alias(key)).agg(
+        F.count("*").alias("n"), F.max(F.col("lead") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")))
+    one, more = ids.filter("n = 1 AND stays").select(key), ids.filter("n > 1").select(key)
+    once = docs.join(one, docs["doc_id"].eqNullSafe(one[key]), "left_semi")
+    if not more.limit(1).count():
         return once
     size = near.size
 
@@ -308,12 +309,12 @@ def kept_documents(docs: DataFrame, near: NearDuplicates) -> DataFrame:
         for batch in small_batches(batches, "text", 2 << 20):
             sets = [shingles.codes(t) for t in batch.column("text").to_pylist()]
             cids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, cids], [*batch.schema.names, "_cid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, cids], [*batch.schema.names, cid])
 
-    several = docs.join(ids.filter("_n > 1"), same, "left_semi")
-    several = several.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("_cid", T.BinaryType())]))
+    several = docs.join(more, docs["doc_id"].eqNullSafe(more[key]), "left_semi")
+    several = several.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField(cid, T.BinaryType())]))
     leads = rows.filter(F.col("lead") & F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("cid").isNotNull()).select(
-        F.col("doc_id").alias("_id"), F.col("cid").alias("_lead")).distinct()
-    chosen = several.join(leads, several["doc_id"].eqNullSafe(leads["_id"]) & (several["_cid"] == leads["_lead"]), "left_semi")
-    chosen = chosen.groupBy("doc_id", "_cid").agg(F.any_value(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return once.unionByName(chosen).unionByName(several.filter("_cid IS NULL").drop("_cid"))
+        F.col("doc_id").alias(key), F.col("cid").alias(lead)).distinct()
+    chosen = several.join(leads, several["doc_id"].eqNullSafe(leads[key]) & (several[cid] == leads[lead]), "left_semi")
+    chosen = chosen.groupBy("doc_id", cid).agg(F.any_value(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return once.unionByName(chosen).unionByName(several.filter(F.col(cid).isNull()).drop(cid))

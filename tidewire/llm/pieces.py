@@ -385,7 +385,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     seen = coded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.coalesce(F.element_at("ends", -1) - F.element_at("begins", 1), F.lit(0)).cast("long").alias("covered_bytes"))
+        F.coalesce(F.try_element_at("ends", F.lit(-1)) - F.try_element_at("begins", F.lit(1)), F.lit(0)).cast("long").alias("covered_bytes"))
     back = decoded(seen, model, keep=("n_tokens", "ids_sha256", "covered_bytes"))
     return back.select("doc_id", "n_tokens", "ids_sha256",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256"), "covered_bytes")
