@@ -8,6 +8,7 @@ the incomplete beta function and run in Arrow batches on already reduced rows.
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -77,7 +78,7 @@ def beta_tail(x: float, a: float, b: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     total = d
-    for m in range(1, 500):
+    for m in count(1):  # terms fall geometrically here, so this ends
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for coef in (even, odd):
@@ -87,6 +88,8 @@ def beta_tail(x: float, a: float, b: float) -> float:
             c = c if abs(c) > tiny else tiny
             step = c * d
             total *= step
+        if not math.isfinite(total):
+            return float("nan")
         if abs(step - 1.0) < 1e-15:
             break
     return front * total

@@ -122,16 +122,17 @@ def item_country(claims: DataFrame) -> DataFrame:
         F.min_by("value", order).alias("country_item"), F.min_by("country", order).alias("country"))
 
 
-def item_ownership(claims: DataFrame, labels: DataFrame) -> DataFrame:
-    """Whether any of the first three owners carries a state word in its label.
+def item_ownership(claims: DataFrame, labels: DataFrame, first: int | None = None) -> DataFrame:
+    """Whether any owner, or any of the ``first`` listed ones, carries a state word in its label.
 
     Items without a labelled owner give no row: that is unknown, not independent.
     """
     from tidewire import fixed_values as fixed
     owners = claims.filter(F.col("property").isin("P127", "P749"))
-    nearest = labelling.top_in_group(
-        owners, ["item"], [F.asc("property"), F.asc("position"), F.asc("value")], 3)
-    named = nearest.join(labels.select(F.col("item").alias("value"), "label"), "value")
+    if first is not None:
+        owners = labelling.top_in_group(
+            owners, ["item"], [F.asc("property"), F.asc("position"), F.asc("value")], first)
+    named = owners.join(labels.select(F.col("item").alias("value"), "label"), "value")
     words = F.lower("label").rlike("|".join(fixed.STATE_OWNER_WORDS))
     return named.filter(F.col("label") != "").groupBy("item").agg(
         F.bool_or(words).alias("state_owned"))

@@ -66,15 +66,20 @@ def daily_threat_act(articles: DataFrame) -> DataFrame:
     )
 
 
-def top_publishers(articles: DataFrame, days: Sequence[str] | None, limit: int) -> DataFrame:
-    """Largest publishers of conflict coverage by (domain, tld, language)."""
+def publisher_counts(articles: DataFrame, days: Sequence[str] | None = None) -> DataFrame:
+    """Articles on conflict by (domain, tld, language)."""
     rows = articles.filter(F.col("publisher").isNotNull() & c.is_conflict("locations"))
     if days:
         rows = rows.filter(F.col("day").isin([F.lit(d).cast("date") for d in days]))
-    counts = rows.groupBy(
+    return rows.groupBy(
         F.col("publisher").alias("domain"), c.tld("publisher").alias("tld"),
         c.src_lang("translation_info").alias("srclc"),
     ).agg(F.count("*").alias("n"))
+
+
+def top_publishers(articles: DataFrame, days: Sequence[str] | None, limit: int) -> DataFrame:
+    """Largest publishers of conflict coverage by (domain, tld, language)."""
+    counts = publisher_counts(articles, days)
     order = [F.desc("n"), F.asc("domain"), F.asc_nulls_first("srclc")]
     return counts.orderBy(*order).limit(limit)
 

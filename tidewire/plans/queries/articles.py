@@ -197,11 +197,11 @@ def language_coverage(x):
 
 @query("D6 F1", f"""
 SELECT domain, count(DISTINCT srclc) AS n_languages FROM (
-  SELECT * FROM ({TOP_SQL}) WHERE tld = 'ru' ORDER BY n DESC, domain, srclc NULLS FIRST LIMIT 20)
+  SELECT * FROM ({TOP_SQL.replace('LIMIT 400', '')}) WHERE tld = 'ru' ORDER BY n DESC, domain, srclc NULLS FIRST LIMIT 20)
 GROUP BY domain HAVING count(DISTINCT srclc) > 1
 """)
 def multilingual_publishers(x):
-    return daily.multilingual_publishers(daily.top_publishers(x.view("articles"), None, 400), "ru")
+    return daily.multilingual_publishers(daily.publisher_counts(x.view("articles")), "ru")
 
 
 @query("F1", f"""

@@ -103,9 +103,8 @@ def item_countries(x):
 
 @query("C12", f"""
 SELECT c.item, bool_or(regexp_matches(lower(o.label), '{"|".join(fixed.STATE_OWNER_WORDS)}')) AS state_owned
-FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY property, position, value) AS rn FROM ({CLAIMS})
-  WHERE property IN ('P127', 'P749')) c JOIN ({OWNERS}) o ON o.item = c.value
-WHERE rn <= 3 AND o.label <> '' GROUP BY 1
+FROM (SELECT * FROM ({CLAIMS}) WHERE property IN ('P127', 'P749')) c JOIN ({OWNERS}) o ON o.item = c.value
+WHERE o.label <> '' GROUP BY 1
 """)
 def item_ownership(x):
     return audit.item_ownership(claims(x), x.sql(OWNERS, pages=x.table("pages")))

@@ -195,27 +195,31 @@ def escalation_placebo(x):
 MARKETS = {"spx": "r_spx", "sxxp": "r_sxxp", "none": None}
 
 
+def _kinds(kind, *targets):
+    return dict.fromkeys(targets, kind)
+
+
 @query("G8 G9")
 def channel_race_by_regime(x):
-    return races.channel_race(spine(x), ["T1", "vol_T1", "T2", "vol_T2"], races.by_regime(),
+    return races.channel_race(spine(x), {**_kinds("return", "T1", "T2"), **_kinds("volatility", "vol_T1", "vol_T2")}, races.by_regime(),
                               {"spx": "r_spx"})
 
 
 @query("G10")
 def channel_race_interacted(x):
-    return races.interacted_race(spine(x), ["T1", "T2"], "r_spx")
+    return races.interacted_race(spine(x), _kinds("return", "T1", "T2"), "r_spx")
 
 
 @query("G11")
 def market_control_swap(x):
     spans = {"buildup": ("2021-06-01", "2022-02-23"), "full sample": None}
-    return races.channel_race(spine(x), ["T1", "T2"], races.in_spans(spans), MARKETS)
+    return races.channel_race(spine(x), _kinds("return", "T1", "T2"), races.in_spans(spans), MARKETS)
 
 
 @query("G11")
 def market_as_target(x):
     spans = {"buildup": ("2021-06-01", "2022-02-23"), "full sample": None}
-    return races.channel_race(spine(x), ["r_spx", "r_sxxp"], races.in_spans(spans), {"none": None})
+    return races.channel_race(spine(x), _kinds("return", "r_spx", "r_sxxp"), races.in_spans(spans), {"none": None})
 
 
 MECH_SPANS = {"buildup": ("2021-06-01", "2022-02-23"), "full": None}
@@ -246,7 +250,7 @@ def orthogonal_mechanism(x):
 def levels_and_changes(x):
     samples = F.when(F.col("regime") == "attrition", F.array(F.lit("attrition"), F.lit("pooled"))
                      ).otherwise(F.array(F.lit("pooled")))
-    return races.channel_race(spine(x), ["vol_T1", "vol_T2"], samples, {"spx": "r_spx"},
+    return races.channel_race(spine(x), _kinds("volatility", "vol_T1", "vol_T2"), samples, {"spx": "r_spx"},
                               forms=("levels", "changes"))
 
 
@@ -258,7 +262,7 @@ def start_date_sweep(x):
     spans["placebo"] = ("2019-05-01", "2019-12-31")
     led = spine(x).withColumn("k", F.lit("p"))
     led = led.withColumn("lead_T1", F.lead("T1").over(series.by("k")))
-    return races.channel_race(led, ["T1", "lead_T1"], races.in_spans(spans), {"spx": "r_spx"})
+    return races.channel_race(led, _kinds("return", "T1", "lead_T1"), races.in_spans(spans), {"spx": "r_spx"})
 
 
 SPECS = {

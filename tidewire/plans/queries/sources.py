@@ -246,15 +246,12 @@ def rate_panel(x):
 
 
 def sheets(x):
-    rows = x.view("revenue")
-    out = {}
-    for year in range(1995, 2002):
-        mine = rows.filter(F.col("year") == year)
-        out[year] = mine.select(
-            F.col("company").alias("Company"), F.col("country").alias("Country/Region"),
-            F.col("arms").alias(f"Arms revenues ({year})"),
-            F.when(F.col("total") > 4e6, None).otherwise(F.col("total")).alias("Total revenues"))
-    return markets.read_exposure_sheets(out)
+    """All yearly sheets as one table, in the headings of a sheet."""
+    rows = x.view("revenue").select(
+        F.col("year").alias("Year"), F.col("company").alias("Company"), F.col("country").alias("Country/Region"),
+        F.col("arms").alias("Arms revenues"),
+        F.when(F.col("total") > 4e6, None).otherwise(F.col("total")).alias("Total revenues"))
+    return markets.read_exposure_sheet(rows)
 
 
 EXPOSURE_SQL = """

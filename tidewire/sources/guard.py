@@ -40,7 +40,7 @@ def _footer_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def column_costs(spark: SparkSession, paths: Sequence[str], slices: int = 0) -> DataFrame:
     """(path, column, n_rows, bytes) for each file. Footers are read by tasks."""
     files = spark.createDataFrame([(p,) for p in paths], "path string")
-    files = files.repartition(slices or min(max(len(paths), 1), 1000))
+    files = files.repartition(slices, "path") if slices else files.repartition("path")
     return files.mapInPandas(_footer_sizes, "path string, column string, n_rows long, bytes long")
 
 

@@ -157,8 +157,8 @@ def rate_panel(parts: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
     return join_series(long, names)
 
 
-def read_exposure_sheet(raw: DataFrame, year: int) -> DataFrame | None:
-    """One yearly sheet: columns are found by keyword, and a sheet without company, arms
+def read_exposure_sheet(raw: DataFrame, year: int | None = None) -> DataFrame | None:
+    """One yearly sheet, or sheets of all years in one table with a year column: columns are found by keyword, and a sheet without company, arms
     and total columns is skipped."""
     low = {str(x).strip().lower(): x for x in raw.columns}
 
@@ -167,12 +167,13 @@ def read_exposure_sheet(raw: DataFrame, year: int) -> DataFrame | None:
 
     company, country = find("company"), find("country")
     arms = find("arms revenues", str(year)) or find("arms revenues")
+    when = F.lit(year) if year is not None else F.col(find("year")).cast("int")
     total = find("total revenues")
     if not (company and arms and total):
         return None
     known = F.col(f"`{country}`") if country else F.lit(None)
     return exposure_shares(raw.select(
-        F.lit(year).alias("year"), F.col(f"`{company}`").alias("company"),
+        when.alias("year"), F.col(f"`{company}`").alias("company"),
         known.cast("string").alias("country"),
         c.number(F.col(f"`{arms}`").cast("string")).alias("arms"),
         c.number(F.col(f"`{total}`").cast("string")).alias("total"),
