@@ -80,9 +80,11 @@ def near_duplicates(
         jaccard = common / (F.size("codes") + F.size("other") - common)
         close = joined.select("first", "leader", jaccard.alias("jaccard")).filter(
             F.col("jaccard") >= threshold)
-        best = durable(close.groupBy("first").agg(
+        best = (close.groupBy("first").agg(
             F.min_by("leader", F.struct(-F.col("jaccard"), "leader")).alias("leader"),
             F.max("jaccard").alias("jaccard")))
+        # A pair holds only if its leader still stands after this round; other members try again.
+        best = durable(best.join(best.select(F.col("first").alias("leader")), "leader", "left_anti"))
         found = best if found is None else found.unionByName(best)
         # Leave out what is settled: duplicates everywhere, leaders in the buckets they led.
         led = leaders.select("bucket", F.col("leader").alias("first"))
@@ -97,7 +99,3 @@ def near_duplicates(
     near = found.select(F.col("first").alias("key"), F.col("leader").alias("duplicate_of"), "jaccard")
     return same.unionByName(near)
 
-
-def kept_texts(texts: DataFrame, key: str, duplicates: DataFrame) -> DataFrame:
-    return texts.join(duplicates.select(F.col("key").alias(key)), key, "left_anti")
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fixed
@@ -22,7 +24,10 @@ SELECT day, count(*) AS n, count(DISTINCT publisher) AS n_publishers
 FROM {{articles}} WHERE ({IN_SPANS}) AND publisher IS NOT NULL GROUP BY day
 """)
 def article_scan(x):
-    rows = scan.scan_articles(x.view("articles"), SPANS)
+    # The mapping moves days forward; moving the spans back instead lets them reach the files.
+    back = [tuple(str(date.fromisoformat(d) - timedelta(days=8000)) for d in span) for span in SPANS]
+    few = x.table("lineitem").filter(scan.in_spans(F.col("l_shipdate"), back))
+    rows = scan.scan_articles(x.view("articles", lineitem=few), SPANS)
     return rows.groupBy("day").agg(
         F.count("*").alias("n"), F.count_distinct("publisher").alias("n_publishers"))
 

@@ -8,7 +8,7 @@ from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
 from tidewire.operators import audit, daily, neardup, series
 from tidewire.plans import panels
-from tidewire.plans.queries.articles import DAILY_RAW, DAILY_SQL, rounded_daily
+from tidewire.plans.queries.articles import DAILY_RAW, DAILY_SQL, IN_SPANS, SPANS, rounded_daily
 from tidewire.plans.queries.daily_series import PIVOT, RET, returns, rounded
 from tidewire.plans.queries.sources import HOST
 from tidewire.plans.registry import query
@@ -226,6 +226,17 @@ def parquet_sink_round_trip(x):
     return rounded_daily(x.spark.read.parquet(folder).drop("month"))
 
 
+
+
+@query("K9 A1", f"SELECT * FROM ({DAILY_SQL}) WHERE {IN_SPANS}")
+def reused_label_table(x):
+    """The daily label table, written by month once; later reads open only the months they need."""
+    folder = scratch(x.spark)
+    table = daily.daily_labels(x.view("articles")).withColumn("month", F.trunc("day", "month"))
+    tables.write_partitioned(table, folder, ["month"])
+    return rounded_daily(tables.read_days(x.spark, folder, SPANS))
+
+
 @query("F5", """
 SELECT date FROM {prices} WHERE ticker = 'T1' INTERSECT SELECT date FROM {prices} WHERE ticker = 'T2'
 """)
@@ -280,22 +291,22 @@ def _feed(x):
     """Article records as a stream: the batch mapping written once, then read as files."""
     folder = scratch(x.spark)
     batch = x.view("articles").withColumn("ts", F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400))
-    batch.repartition(4).write.mode("overwrite").parquet(f"{folder}/in")
-    return batch, feeds.read_feed(x.spark, f"{folder}/in", batch.schema, 1), folder
+    batch.repartitionByRange("day").write.mode("overwrite").parquet(f"{folder}/in")
+    return batch, feeds.read_feed(x.spark, f"{folder}/in", batch.schema), folder
 
 
-def _drain(stream, mode: str, name: str, folder: str):
-    q = (stream.writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def _drain(stream, folder: str):
+    """Run a stream to the end of its feed, into files, and read them."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 @query("J1 J2", DAILY_SQL)
 def streamed_daily_labels(x):
     """The daily label table from micro-batches upserted by (day, ecosystem)."""
     _, feed, folder = _feed(x)
-    counts = feeds.daily_counts(feed, "4000 days")
+    counts = feeds.daily_counts(feed)
     counts = counts.withColumn("month", F.trunc("day", "month"))
     feeds.upsert_stream(
         counts, f"{folder}/table", f"{folder}/state", ["day", "ecosystem"], "month",
@@ -311,9 +322,11 @@ SELECT publisher, min(day) AS first_day, max(day) + 7 AS closed_day, count(*) AS
       SELECT *, row_number() OVER () AS rn FROM {articles}))) GROUP BY publisher, block
 """)
 def streamed_activity_blocks(x):
-    _, feed, folder = _feed(x)
-    out = _drain(feeds.activity_blocks(feed, "publisher", "168 hours", "4000 days"),
-                 "complete", f"blocks_{folder.split('-')[-1]}", folder)
+    batch, feed, folder = _feed(x)
+    # One record long after the last closes every block; its own stays open.
+    last = batch.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 60 DAYS"))
+    last.withColumn("publisher", F.lit("end of feed")).write.mode("append").parquet(f"{folder}/in")
+    out = _drain(feeds.activity_blocks(feed, "publisher", "168 hours"), folder)
     return out.select("publisher", feeds._utc_day(F.col("start")).alias("first_day"),
                       feeds._utc_day(F.col("end")).alias("closed_day"), "n")
 
@@ -321,5 +334,4 @@ def streamed_activity_blocks(x):
 @query("J4", "SELECT DISTINCT url FROM {articles}")
 def streamed_distinct_urls(x):
     _, feed, folder = _feed(x)
-    urls = feeds.distinct_urls(feed.select("ts", "url"), "url", "4000 days")
-    return _drain(urls, "append", f"urls_{folder.split('-')[-1]}", folder).select("url")
+    return _drain(feeds.distinct_urls(feed.select("ts", "url")), folder).select("url")

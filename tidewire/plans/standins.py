@@ -187,9 +187,10 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def view(self, name: str) -> DataFrame:
+    def view(self, name: str, **instead: DataFrame) -> DataFrame:
+        """A mapping over the driver tables, some of which may be given already filtered."""
         text = STANDINS[name]
-        used = {t: self.table(t) for t in BASE_TABLES if "{" + t + "}" in text}
+        used = {t: instead.get(t) or self.table(t) for t in BASE_TABLES if "{" + t + "}" in text}
         return self.spark.sql(text, **used)
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:

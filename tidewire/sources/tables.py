@@ -3,40 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def upsert(
     base: DataFrame, fresh: DataFrame, keys: Sequence[str], keep: str = "last",
-    tie_break: Sequence[Column] | None = None,
+    delivered: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Merge two tables of one schema; one row per key survives.
 
-    ``keep='last'`` lets the fresh row win, ``'first'`` the existing one. Within one
-    side the order is ``tie_break``, by default every other column, so the result never
-    depends on file order. An aggregate with map-side combine, not a window: a key with
+    ``keep='last'`` lets the fresh row win, ``'first'`` the existing one. ``delivered``, such as
+    batch number and file time, says which of several rows of one side came later; without
+    it a key that repeats within a side with different rows is an error. An aggregate with map-side combine, not a window: a key with
     very many copies shrinks before the shuffle.
     """
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first' or 'last', not {keep!r}")
     both = base.withColumn("_side", F.lit(0)).unionByName(fresh.withColumn("_side", F.lit(1)))
-    rest = [F.col(x) for x in base.columns if x not in keys]
-    order = F.struct(F.col("_side"), *(tie_break or rest))
+    order = F.struct(F.col("_side"), *(delivered or []))
     pick = F.max_by if keep == "last" else F.min_by
     values = F.struct(*[F.col(x) for x in base.columns if x not in keys])
-    merged = both.groupBy(*keys).agg(pick(values, order).alias("_row"))
+    row = pick(values, order)
+    if delivered is None:
+        sides = [F.when(F.col("_side") == side, values) for side in (0, 1)]
+        same = [F.min(v).eqNullSafe(F.max(v)) for v in sides]
+        row = F.when(same[0] & same[1], row).otherwise(F.raise_error(
+            F.lit("a key repeats with different rows: say in which order they were delivered")))
+    merged = both.groupBy(*keys).agg(row.alias("_row"))
     return merged.select(*[
         F.col(x) if x in keys else F.col(f"_row.{x}").alias(x) for x in base.columns
     ])
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One whole row per key, the greatest by a total order."""
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
-    return best.select("_row.*")
-
-
 def upsert_partitions(
     fresh: DataFrame, path: str, keys: Sequence[str], partition: str = "day",
 ) -> None:
@@ -71,6 +72,16 @@ def write_partitioned(
     writer.parquet(path)
 
 
+def read_days(
+    spark: SparkSession, path: str, spans: Sequence[tuple[str, str]], partition: str = "month",
+) -> DataFrame:
+    """The days of a table written by month; other months are not opened."""
+    stored = spark.read.parquet(path)
+    months = [F.col(partition).between(F.trunc(F.lit(a).cast("date"), "month"), F.lit(b).cast("date")) for a, b in spans]
+    days = [F.col("day").between(F.lit(a).cast("date"), F.lit(b).cast("date")) for a, b in spans]
+    return stored.filter(reduce(or_, months) & reduce(or_, days)).drop(partition)
+
+
 def write_result(df: DataFrame, path: str) -> None:
     """A small result table as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
