@@ -507,6 +507,25 @@ def plan_for(x, horizons=(1, 5), refit=21):
     return forecasting.walk_forward(frame, cell, "horizon", refit=refit), sets, cell
 
 
+def sample_plan(x, refit=21):
+    """The same cells over two samples: without the unobserved window, and with it. Only
+    financial and news inputs are asked for, so the window keeps its rows."""
+    panel, sets = model_panel(x)
+    panel = panel.withColumn("k", F.lit("p"))
+    w = series.by("k")
+    keys = [(t, h) for t in ("T1", "T2") for h in (1, 5)]
+    made = panel.withColumns({f"_{t}_{h}": series.forward_sum(F.col(t), w, h) for t, h in keys})
+    ys = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(h).alias("horizon"), F.col(f"_{t}_{h}").alias("y"))
+                   for t, h in keys])
+    samples = F.array_compact(F.array(
+        F.lit("full"), F.when(~F.col("attack_unobserved"), F.lit("observed"))))
+    cells = made.select("date", *sets["N"], F.explode(samples).alias("sample"), ys.alias("ys"))
+    cells = cells.select("date", "sample", *sets["N"], F.inline("ys"))
+    cell = ["sample", "target", "horizon"]
+    frame = forecasting.common_frame(cells, "y", sets["N"], cell, least=300)
+    return forecasting.walk_forward(frame, cell, "horizon", refit=refit), sets, cell
+
+
 @query("H1 I18")
 def walk_forward_plan(x):
     plan, _, cell = plan_for(x)
@@ -540,7 +559,29 @@ def _scored(plan, forecasts, cell):
     return forecasts.join(bench.select(*cell, "date", "bench"), [*cell, "date"])
 
 
-@query("H3 H8 H12")
+@query("H12")
+def news_race_by_sample(x):
+    """Financial inputs with and without news, over the full sample and the observed one."""
+    plan, sets, cell = sample_plan(x)
+    pair = {name: sets[name] for name in ("F", "N")}
+    rows = _scored(plan, forecasting.ridge_sets(plan, cell, "y", pair), cell)
+    keys = [*cell, "info_set"]
+    table = testing.loss_table(rows, keys, "y", "forecast", "bench")
+    cw = testing.clark_west(rows, keys, "y", "bench", "forecast", "horizon", 5).drop("n")
+    return testing.benjamini_hochberg(table.join(cw, keys), "cw_p", ["sample"])
+
+
+@query("K8")
+def error_by_information_set(x):
+    """Mean error of the ridge by nested set at one horizon, beside the benchmark's."""
+    plan, sets, cell = plan_for(x, horizons=(1,))
+    rows = _scored(plan, forecasting.ridge_sets(plan, cell, "y", sets), cell)
+    table = testing.loss_table(rows, [*cell, "info_set"], "y", "forecast", "bench")
+    return table.groupBy("horizon", "info_set").agg(
+        F.avg("mae").alias("mae"), F.avg("mae_bench").alias("mae_bench"), F.count("*").alias("n_targets"))
+
+
+@query("H3 H8")
 def ridge_race(x):
     """Nested information sets under an expanding ridge, with loss table and test."""
     plan, sets, cell = plan_for(x)

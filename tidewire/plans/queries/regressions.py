@@ -121,19 +121,19 @@ def variant_sensitivity(x):
     return testing.sensitivity_summary(_variant_grid(x), ["lag", "variant"])
 
 
-ARMS = [
-    {"name": f"primary {f}", "asset": "T1", "controls": ["brent", "lvix"], "freq": f,
-     "span": ("2017-06-01", "2022-06-05")} for f in ("D", "W")
+ASSET_WINDOWS = {"to the buildup": ("2016-11-01", "2021-10-31"), "to the invasion": ("2017-06-01", "2022-06-05")}
+_FORMS = [
+    {"name": f"primary {f}", "asset": "T1", "controls": ["brent", "lvix"], "freq": f} for f in ("D", "W")
 ] + [
-    {"name": f"placebo {t}", "asset": t, "controls": ["brent", "lvix"],
-     "span": ("2017-06-01", "2022-06-05")} for t in ("T3", "T4")
+    {"name": f"placebo {t}", "asset": t, "controls": ["brent", "lvix"]} for t in ("T3", "T4")
 ] + [
-    {"name": f"drop {k}", "asset": "T1", "controls": ["brent", "lvix"], "drop": k,
-     "span": ("2017-06-01", "2022-06-05")} for k in (0, 10)
+    {"name": f"drop {k}", "asset": "T1", "controls": ["brent", "lvix"], "drop": k} for k in (0, 10)
 ] + [
-    {"name": "controls " + "+".join(cs), "asset": "T1", "controls": cs,
-     "span": ("2017-06-01", "2022-06-05")} for cs in (["r_spx", "lvix"], ["brent", "r_spx", "lvix"])
+    {"name": "controls " + "+".join(cs), "asset": "T1", "controls": cs}
+    for cs in (["r_spx", "lvix"], ["brent", "r_spx", "lvix"])
 ]
+ARMS = [{**form, "name": f"{form['name']} @ {window}", "span": span}
+        for form in _FORMS for window, span in ASSET_WINDOWS.items()]
 
 
 def _assets(x):
@@ -145,17 +145,27 @@ def _assets(x):
 @query("G5 K5")
 def asset_race(x):
     """Assets, frequencies, placebos, dropped extremes and control sets as arms."""
-    return races.asset_race(_assets(x), ARMS)
+    return _asset_grid(x)
+
+
+def _asset_grid(x):
+    """Every arm in every window, corrected over the whole grid."""
+    grid = races.asset_race(_assets(x), ARMS)
+    parts = F.split("arm", " @ ")
+    grid = grid.withColumns({"window": parts[1], "arm": parts[0]})
+    return testing.benjamini_hochberg(grid, "p_local")
 
 
 @query("I16")
 def asset_rules(x):
-    """The written rule on the asset arms: survivors, placebos, extremes, leading label."""
-    grid = races.asset_race(_assets(x), ARMS)
+    """The written rule on the asset arms: corrected survivors in both windows, placebos,
+    extremes, leading label."""
+    grid = _asset_grid(x)
+    survivors = F.count_distinct(F.when(F.col("arm").startswith("primary") & F.col("survives_bh"), F.col("window")))
     primary, placebo = F.col("arm").startswith("primary"), F.col("arm").startswith("placebo")
     p = F.col("p_local")
     return testing.rules(grid, {
-        "survives_every_primary_arm": F.min(F.when(primary, (p < 0.05).cast("int"))) == 1,
+        "survives_in_both_windows": survivors == len(ASSET_WINDOWS),
         "all_placebos_above_a_tenth": F.min(F.when(placebo, (p > 0.10).cast("int"))) == 1,
         "survives_dropping_extremes": F.max(F.when(F.col("arm") == "drop 10", p)) < 0.05,
         "RU_STATE_leads": F.min(F.when(primary, (F.col("top_local") == "RU_STATE").cast("int"))) == 1,
