@@ -131,6 +131,17 @@ def test_good_documents_stay_and_bad_go(spark, small):
     assert all(r.kept for r in good) and sum(not r.kept for r in bad) >= 0.8 * len(bad)
 
 
+def test_large_and_small_groups_keep_every_row(spark):
+    """Sources over and under the pooling bound, null names among them."""
+    rows = [(i, f"word{i % 7} and some more words to make it long enough for the rule number {i}", lang, source)
+            for i, (lang, source) in enumerate([("en", "a")] * 60 + [("en", "b")] * 50 + [("de", "a")] * 60 + [("de", "b")] * 9
+                                               + [("fr", "a")] * 25 + [("fr", "b")] * 25 + [(None, None)] * 3 + [(None, "c")] * 45)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = outliers.judged(docs, least_rows=40).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(rows))) and all(r.distance is not None for r in got)
+    assert outliers.kept_documents(docs, least_rows=40).count() == sum(r.kept for r in got)
+
+
 def test_inverse_and_determinant(spark):
     a = np.array([[4.0, 1.0, 0.5], [1.0, 3.0, 0.2], [0.5, 0.2, 2.0]])
     e = spark.range(1).select(outliers.inverted(F.array(*map(F.lit, a.ravel().tolist())), 3).alias("e")).select("e.*").first()

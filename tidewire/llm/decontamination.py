@@ -90,10 +90,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_win
     found = hits(docs, benchmark, width, broadcast_windows)
     counted = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                           F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
-    same = counted["doc_id"].eqNullSafe(found["doc_id"]) & (counted["text_key"] == found["text_key"])
+    found = found.withColumnsRenamed({"doc_id": "_hit", "text_key": "_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("_hit")) & (F.col("text_key") == F.col("_key"))
     none = F.array().cast("array<string>")
     return counted.join(found, same, "left").select(
-        counted["doc_id"], counted["text_key"], "n_words",
+        "doc_id", "text_key", "n_words",
         F.coalesce(_covered("spans"), F.lit(0)).cast("long").alias("n_hit"),
         F.array_sort(F.coalesce("items", none)).alias("items"), "spans",
         F.coalesce(F.size("spans") > 0, F.lit(False)).alias("contaminated"))

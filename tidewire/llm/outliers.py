@@ -217,8 +217,9 @@ def judged(docs: DataFrame, least_rows: int = 200, tail: float = 1e-5, share: fl
     stats = written(statistics(docs).select(*names, "lang", "source", F.array(*x).alias("x")))
     fine = stats.filter("NOT base_failed")
     counts = fine.groupBy("lang", "source").agg(F.count("*").alias("c"))
-    of_lang = counts.filter(F.col("c") < least_rows).groupBy("lang").agg(F.sum("c").alias("l"))
-    joined = counts.join(of_lang, counts["lang"].eqNullSafe(of_lang["lang"]), "left").drop(of_lang["lang"])
+    counts = written(counts)
+    of_lang = counts.filter(F.col("c") < least_rows).groupBy(F.col("lang").alias("_l")).agg(F.sum("c").alias("l"))
+    joined = counts.join(of_lang, counts["lang"].eqNullSafe(of_lang["_l"]), "left").drop("_l")
     name = lambda *c: F.to_json(F.array(*(F.coalesce(x.cast("string"), F.lit("\0")) for x in c)))
     grp = F.when(F.col("c") >= least_rows, name(F.col("lang"), F.col("source"))).when(
         F.coalesce("l", F.lit(0)) >= least_rows, name(F.col("lang"))).otherwise(F.lit("all"))
