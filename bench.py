@@ -18,7 +18,9 @@ HEADLINE = [
     "grouping_strategies", "upsert_keep_last", "url_deduplicated", "keyword_matches",
     "daily_event_table", "perception_indices", "anticipation_episodes", "weekly_resample",
     "hac_regression", "label_race_same_day", "predictor_forecast_tests", "combined_forecasts",
-    "supremum_break", "candidate_validation", "two_way_demeaned", "ridge_race",
+    "supremum_break", "candidate_validation", "two_way_demeaned", "ridge_race", "asset_rules",
+    "escalation_grid", "confidence_set", "reused_label_table", "streamed_daily_labels",
+    "streamed_activity_blocks", "streamed_distinct_urls",
 ]
 
 

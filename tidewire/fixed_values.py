@@ -6,42 +6,43 @@ hold the same entries. They are stated plainly and carry no logic.
 
 # --- Fixed values: publisher register ----------------------------------------
 
-RU_STATE = """
-tass.ru special.tass.ru ria.ru rg.ru rt.com riafan.ru vesti.ru iz.ru vz.ru
-life.ru 1tv.ru tvzvezda.ru smotrim.ru sputniknews.com ren.tv 1prime.ru
-mskagency.ru aif.ru kp.ru pda.kp.ru vm.ru regnum.ru lenta.ru gazeta.ru ura.news
-russian.rt.com inosmi.ru rueconomics.ru
-""".split()
-
-RU_INDEP = """
-meduza.io novayagazeta.eu novayagazeta.ru theins.ru zona.media mediazona.ca
-moscowtimes.ru themoscowtimes.com republic.ru tvrain.ru echo.msk.ru
-kommersant.ru vedomosti.ru rbc.ru znak.com 7x7-journal.ru
-""".split()
-
-UA_DOMAINS = """
-unian.net censor.net pravda.com.ua ukrinform.net kyivindependent.com
-kyivpost.com epravda.com.ua hromadske.ua liga.net obozrevatel.com
-korrespondent.net strana.news
-""".split()
-
-WEST_DOMAINS = """
-reuters.com bloomberg.com ft.com wsj.com nytimes.com washingtonpost.com cnn.com
-bbc.co.uk bbc.com theguardian.com telegraph.co.uk economist.com apnews.com
-cnbc.com politico.eu spiegel.de lemonde.fr faz.net handelsblatt.com
-marketwatch.com barrons.com forbes.com businessinsider.com axios.com npr.org
-dw.com svoboda.org currenttime.tv
-""".split()
-
-AGGREGATORS = """
-msn.com yahoo.com news.yahoo.com news.google.com iheart.com finance.yahoo.com
-news.mail.ru news.meta.ua flipboard.com newsbreak.com smartnews.com
-""".split()
-
-WEST_TLDS = """
-us uk de fr it es pl nl se no dk fi ca au be at cz pt ie gr ro hu sk si lt lv ee
-bg hr lu is nz ch
-""".split()
+RU_STATE = [
+    "tass.ru", "special.tass.ru", "ria.ru", "rg.ru", "rt.com", "riafan.ru", "vesti.ru", "iz.ru",
+    "vz.ru", "life.ru", "1tv.ru", "tvzvezda.ru", "smotrim.ru", "sputniknews.com", "ren.tv",
+    "1prime.ru", "mskagency.ru", "aif.ru", "kp.ru", "pda.kp.ru", "vm.ru", "regnum.ru", "lenta.ru",
+    "gazeta.ru", "ura.news", "russian.rt.com", "inosmi.ru", "rueconomics.ru",
+]
+
+RU_INDEP = [
+    "meduza.io", "novayagazeta.eu", "novayagazeta.ru", "theins.ru", "zona.media", "mediazona.ca",
+    "moscowtimes.ru", "themoscowtimes.com", "republic.ru", "tvrain.ru", "echo.msk.ru",
+    "kommersant.ru", "vedomosti.ru", "rbc.ru", "znak.com", "7x7-journal.ru",
+]
+
+UA_DOMAINS = [
+    "unian.net", "censor.net", "pravda.com.ua", "ukrinform.net", "kyivindependent.com",
+    "kyivpost.com", "epravda.com.ua", "hromadske.ua", "liga.net", "obozrevatel.com",
+    "korrespondent.net", "strana.news",
+]
+
+WEST_DOMAINS = [
+    "reuters.com", "bloomberg.com", "ft.com", "wsj.com", "nytimes.com", "washingtonpost.com",
+    "cnn.com", "bbc.co.uk", "bbc.com", "theguardian.com", "telegraph.co.uk", "economist.com",
+    "apnews.com", "cnbc.com", "politico.eu", "spiegel.de", "lemonde.fr", "faz.net",
+    "handelsblatt.com", "marketwatch.com", "barrons.com", "forbes.com", "businessinsider.com",
+    "axios.com", "npr.org", "dw.com", "svoboda.org", "currenttime.tv",
+]
+
+AGGREGATORS = [
+    "msn.com", "yahoo.com", "news.yahoo.com", "news.google.com", "iheart.com", "finance.yahoo.com",
+    "news.mail.ru", "news.meta.ua", "flipboard.com", "newsbreak.com", "smartnews.com",
+]
+
+WEST_TLDS = [
+    "us", "uk", "de", "fr", "it", "es", "pl", "nl", "se", "no", "dk", "fi", "ca", "au", "be", "at",
+    "cz", "pt", "ie", "gr", "ro", "hu", "sk", "si", "lt", "lv", "ee", "bg", "hr", "lu", "is", "nz",
+    "ch",
+]
 
 CORE_LABELS = ["UA", "RU_STATE", "RU_INDEP", "WEST", "EN_GLOBAL"]
 LOCAL_LABELS = ["UA", "RU_STATE", "RU_INDEP"]
@@ -56,46 +57,49 @@ LABEL_COUNTRY = {
 
 CONFLICT_MARKS = ["#UP#", "#RS#"]
 
-ACT_THEMES = """
-KILL WOUND CRISISLEX_T03_DEAD CRISISLEX_T02_INJURED ARMEDCONFLICT TERROR SIEGE
-REBELLION MANMADE_DISASTER_IMPLIED
-""".split()
+ACT_THEMES = [
+    "KILL", "WOUND", "CRISISLEX_T03_DEAD", "CRISISLEX_T02_INJURED", "ARMEDCONFLICT", "TERROR",
+    "SIEGE", "REBELLION", "MANMADE_DISASTER_IMPLIED",
+]
 
-THREAT_THEMES = """
-THREATEN MILITARY TAX_WEAPONS TAX_FNCACT_TROOPS BORDER NUCLEAR SANCTIONS
-EPU_CATS_NATIONAL_SECURITY USPEC_UNCERTAINTY1 SECURITY_SERVICES
-""".split()
+THREAT_THEMES = [
+    "THREATEN", "MILITARY", "TAX_WEAPONS", "TAX_FNCACT_TROOPS", "BORDER", "NUCLEAR", "SANCTIONS",
+    "EPU_CATS_NATIONAL_SECURITY", "USPEC_UNCERTAINTY1", "SECURITY_SERVICES",
+]
 
 # --- Fixed values: hosts that are not news ------------------------------------
 
-INTERNAL_HOSTS = """
-facebook.com twitter.com x.com youtube.com tiktok.com instagram.com linkedin.com
-reddit.com medium.com wordpress.com blogspot.com tumblr.com vk.com ok.ru
-telegram.me t.me
-""".split()
+INTERNAL_HOSTS = [
+    "facebook.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "instagram.com",
+    "linkedin.com", "reddit.com", "medium.com", "wordpress.com", "blogspot.com", "tumblr.com",
+    "vk.com", "ok.ru", "telegram.me", "t.me",
+]
 
 # --- Fixed values: country code groups ----------------------------------------
 
 COUNTRY_GROUPS = {
-    "ukrainian": "UA UP".split(),
-    "russian": "RU RS".split(),
-    "western": """
-US GB UK CA AU AS NZ DE GM FR IT ES NL BE LU AT IE EI DK FI SE PT GR CZ HU PL RO
-BG HR SK SI LT LV EE CY MT CH NO LI MC JP JA KR KS TW IL IS
-""".split(),
+    "ukrainian": ["UA", "UP"],
+    "russian": ["RU", "RS"],
+    "western": [
+        "US", "GB", "UK", "CA", "AU", "AS", "NZ", "DE", "GM", "FR", "IT", "ES", "NL", "BE", "LU",
+        "AT", "IE", "EI", "DK", "FI", "SE", "PT", "GR", "CZ", "HU", "PL", "RO", "BG", "HR", "SK",
+        "SI", "LT", "LV", "EE", "CY", "MT", "CH", "NO", "LI", "MC", "JP", "JA", "KR", "KS", "TW",
+        "IL", "IS",
+    ],
 }
 
 # --- Fixed values: knowledge-base country items --------------------------------
 
-DEFUNCT_COUNTRIES = "Q15180 Q34266 Q2305208".split()
+DEFUNCT_COUNTRIES = ["Q15180", "Q34266", "Q2305208"]
 
 COUNTRY_ITEMS = {
-    "RU": "Q159 Q15180 Q34266".split(),
-    "UA": "Q212 Q2305208".split(),
-    "WEST": """
-Q30 Q145 Q183 Q142 Q38 Q29 Q36 Q55 Q34 Q20 Q35 Q33 Q16 Q408 Q31 Q40 Q213 Q45 Q27
-Q41 Q218 Q28 Q214 Q219 Q224 Q211 Q37 Q191 Q32 Q189 Q39 Q664
-""".split(),
+    "RU": ["Q159", "Q15180", "Q34266"],
+    "UA": ["Q212", "Q2305208"],
+    "WEST": [
+        "Q30", "Q145", "Q183", "Q142", "Q38", "Q29", "Q36", "Q55", "Q34", "Q20", "Q35", "Q33",
+        "Q16", "Q408", "Q31", "Q40", "Q213", "Q45", "Q27", "Q41", "Q218", "Q28", "Q214", "Q219",
+        "Q224", "Q211", "Q37", "Q191", "Q32", "Q189", "Q39", "Q664",
+    ],
 }
 
 STATE_OWNER_WORDS = [
