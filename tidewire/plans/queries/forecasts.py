@@ -507,7 +507,7 @@ def plan_for(x, horizons=(1, 5), refit=21):
     return forecasting.walk_forward(frame, cell, "horizon", refit=refit), sets, cell
 
 
-def sample_plan(x, refit=21):
+def sample_plan(x, refit=1):
     """The same cells over two samples: without the unobserved window, and with it. Only
     financial and news inputs are asked for, so the window keeps its rows."""
     panel, sets = model_panel(x)
@@ -574,7 +574,7 @@ def news_race_by_sample(x):
 @query("K8")
 def error_by_information_set(x):
     """Mean error of the ridge by nested set at one horizon, beside the benchmark's."""
-    plan, sets, cell = plan_for(x, horizons=(1,))
+    plan, sets, cell = plan_for(x, horizons=(1,), refit=1)
     rows = _scored(plan, forecasting.ridge_sets(plan, cell, "y", sets), cell)
     table = testing.loss_table(rows, [*cell, "info_set"], "y", "forecast", "bench")
     return table.groupBy("horizon", "info_set").agg(
@@ -583,8 +583,9 @@ def error_by_information_set(x):
 
 @query("H3 H8")
 def ridge_race(x):
-    """Nested information sets under an expanding ridge, with loss table and test."""
-    plan, sets, cell = plan_for(x)
+    """Nested information sets under an expanding ridge fitted anew for every row, with loss
+    table and test."""
+    plan, sets, cell = plan_for(x, refit=1)
     rows = _scored(plan, forecasting.ridge_sets(plan, cell, "y", sets), cell)
     keys = [*cell, "info_set"]
     table = testing.loss_table(rows, keys, "y", "forecast", "bench")
@@ -613,7 +614,7 @@ def har_race(x):
     w = series.by("k")
     news = wide.select("date", *[series.change(F.col(n), w, 1).alias(n) for n in NEWS])
     rows = returns(x).join(news, "date", "left")
-    out = forecasting.har_forecasts(rows, "ticker", 5, {"N": NEWS}, least=300)
+    out = forecasting.har_forecasts(rows, "ticker", 5, {"N": NEWS}, least=300, refit=1)
     base = out.filter("model = 'HAR-RV'").select("ticker", "date", F.col("forecast").alias("bench"))
     both = out.filter("model <> 'HAR-RV'").join(base, ["ticker", "date"])
     loss = both.groupBy("ticker", "model").agg(
