@@ -10,7 +10,6 @@ from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
 from tidewire.operators import moments, series
 from tidewire.operators.testing import benjamini_hochberg
-from tidewire.session import durable
 
 Windows = Mapping[str, tuple[str, str] | None]
 
@@ -96,7 +95,7 @@ def complete(
 
     ``k`` counts the features a cell really has.
     """
-    kept = durable(rows).filter(c.all_known([y, *features]))
+    kept = rows.filter(c.all_known([y, *features]))
     p = series.whole(cell)
     used = sum((F.max((F.col(f) != 0).cast("int")).over(p) for f in features), F.lit(0))
     sized = kept.withColumns({"_n": F.count("*").over(p), "_k": used})
