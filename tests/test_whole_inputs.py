@@ -116,3 +116,12 @@ def test_strict_z_score_and_tails(spark):
     assert tails.beta_tail(0.5, 1e6, 1e6) == pytest.approx(0.5, abs=1e-6)
     flat = spark.createDataFrame([(1, 2.0), (2, 2.0)], "d int, v double")
     assert flat.withColumn("k", F.lit(1)).withColumn("z", series.zscore(F.col("v"), series.whole("k"))).filter("z IS NULL").count() == 2
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from tidewire import session
+    kept, session._SCRATCH[:] = list(session._SCRATCH), []
+    spark.range(3).write.parquet(session.scratch(spark))
+    session.scratch(spark)
+    assert session.clear_scratch(spark) == 1 and not session._SCRATCH
+    session._SCRATCH[:] = kept

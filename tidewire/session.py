@@ -42,9 +42,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name inside the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tidewire-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_folder(spark).rstrip('/')}/tidewire-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this driver has made, once no result reads them any more.
+
+    Returns how many there were. Results are lazy, so only the caller knows when that is.
+    """
+    jvm, n = spark._jvm, 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def durable(df: DataFrame) -> DataFrame:
