@@ -26,19 +26,32 @@ from tidewire.llm.common import small_batches
 
 # Kinds of HTML elements.
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
-    "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre "
-    "search section summary table tbody td tfoot th thead title tr ul".split())
+    [
+        "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details",
+        "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+        "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html",
+        "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section",
+        "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
+    ])
 SILENT_TAGS = frozenset(
-    "script style noscript template head title svg math iframe object canvas select button textarea datalist "
-    "audio video map".split())
-VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-FURNITURE_TAGS = frozenset("nav aside form menu dialog footer header search".split())
+    [
+        "script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe",
+        "object", "canvas", "select", "button", "textarea", "datalist", "audio", "video", "map",
+    ])
+VOID_TAGS = frozenset([
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track",
+    "wbr",
+])
+FURNITURE_TAGS = frozenset(["nav", "aside", "form", "menu", "dialog", "footer", "header", "search"])
 FURNITURE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie "
-    "cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination "
-    "popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe "
-    "subscription tags teaser toolbar widget".split())
+    [
+        "ad", "ads", "adv", "advert", "adverts", "advertisement", "banner", "breadcrumb",
+        "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "disqus",
+        "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation",
+        "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related",
+        "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor",
+        "sponsored", "subscribe", "subscription", "tags", "teaser", "toolbar", "widget",
+    ])
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
