@@ -7,8 +7,9 @@ survives is verified on full sets. Pairs that hold link classes; components take
 
 No bucket gives all its pairs. A round compares every member with one hub of its bucket; hubs
 change from round to round, and members already in the hub's component are not compared again.
-When a further round would cost more than it saves, every pair of a bucket that is still in two
-components is compared: its members outside the bucket's largest component against all others.
+When a further round would save less than half, every pair of a bucket that is still in two
+components is compared: its members outside the bucket's largest component against all others,
+in buckets of more than ``few`` members by blocks inside tasks, which emit links only.
 So a link is lost only where no band agrees (3e-6 at similarity 0.8 with the default bands) or
 at ``miss``. All state is in tables of the shared folder.
 
@@ -39,7 +40,7 @@ _LOWERED = str.maketrans(UPPER, LOWER)
 class Shingles:
     """Distinct 64-bit codes of the runs of ``size`` words of a text."""
 
-    def __init__(self, size: int, cache_size: int = 400_000):
+    def __init__(self, size: int, cache_size: int = 200_000):
         self.size, self.cache_size = size, cache_size
         self.cache: dict[str, int] = {}
 
@@ -103,9 +104,11 @@ class NearDuplicates:
     def __init__(
         self, docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
         bands: int = 32, rows: int = 5, batch: int = 32, miss: float = 1e-6, seed: int = 1,
+        few: int = 8, block: int = 256,
     ):
         self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.size, self.percent, self.bands, self.rows, self.batch, self.miss = size, percent, bands, rows, batch, miss
+        self.few, self.block = few, block
         rng = np.random.default_rng(seed)
         self.a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -118,7 +121,7 @@ class NearDuplicates:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles = Shingles(size)
             salt = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            for batch in small_batches(batches, "text", 2 << 20):
+            for batch in small_batches(batches, "text", 1 << 20):
                 sets = [shingles.codes(t) for t in batch.column("text").to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 cids: list[bytes | None] = [None] * len(sets)
@@ -192,6 +195,62 @@ class NearDuplicates:
         counted = full.select("a", "b", common.alias("c"), (F.size("p") + F.size("q")).alias("n"))
         return counted.filter(F.col("c").cast("long") * 100 >= (F.col("n") - F.col("c")) * self.percent).select("a", "b")
 
+    def blocks(self, inside: DataFrame, classes: DataFrame) -> DataFrame:
+        """The links (a, b) between components in the buckets given as (cid, comp, major).
+
+        All buckets of one largest component are compared together: the classes outside it against
+        all, in blocks of ``block`` by ``block``, each one task's work. Of the links of a class to a
+        component, one is given.
+        """
+        size = self.block
+        steps = list(range(self.batch, self.bands * self.rows + 1, self.batch))
+        least, percent = least_matches(steps, self.percent / 100, self.miss), self.percent
+        parts = written(inside.select("major", "cid", "comp").distinct())
+        sizes = parts.groupBy("major").agg(F.count("*").alias("ny"), F.count_if(F.col("comp") != F.col("major")).alias("nx"))
+        sizes = sizes.select("major", F.ceil(F.col("ny") / size).alias("yb"), F.ceil(F.col("nx") / size).alias("xb"))
+        placed = parts.join(sizes, "major")
+        dealt = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "cid"), F.col(n))
+        ys = placed.select("major", "cid", "comp", F.lit(False).alias("asks"), dealt("yb", 1).alias("y"),
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("xb") - 1)).alias("x"))
+        xs = placed.filter("comp != major").select("major", "cid", "comp", F.lit(True).alias("asks"), dealt("xb", 2).alias("x"),
+                                                   F.explode(F.sequence(F.lit(0).cast("long"), F.col("yb") - 1)).alias("y"))
+        sets = written(self.sets_of(parts.select("cid").distinct(), classes).join(classes.select("cid", "signature"), "cid"))
+        rows = ys.unionByName(xs).join(sets, "cid").select("major", "x", "y", "cid", "comp", "asks", "signature", "codes")
+
+        def compare(group: pa.Table) -> pa.Table:
+            asks = group.column("asks").to_numpy(zero_copy_only=False)
+            x, y = (group.filter(pa.array(m)) for m in (asks, ~asks))
+            out = []
+            if x.num_rows and y.num_rows:
+                marks = np.frombuffer(b"".join(y.column("signature").to_pylist()), np.uint8).reshape(y.num_rows, -1)
+                comps, cids = y.column("comp").to_pylist(), y.column("cid").to_pylist()
+                codes = [np.asarray(v.values) for v in y.column("codes")]
+                sizes = np.array([len(c) for c in codes])
+                joined, owner = np.concatenate(codes), np.repeat(np.arange(len(codes)), sizes)
+                order = np.argsort(joined, kind="stable")
+                joined, owner = joined[order], owner[order]
+                for a, comp, mark, mine in zip(x.column("cid").to_pylist(), x.column("comp").to_pylist(),
+                                               x.column("signature").to_pylist(), x.column("codes")):
+                    stays = np.array([i for i, c in enumerate(comps) if c != comp], np.int64)
+                    mark, equal, at = np.frombuffer(mark, np.uint8), np.zeros(len(comps), np.int64), 0
+                    for n, m in zip(steps, least):
+                        equal[stays] += (marks[stays, at:n] == mark[at:n]).sum(axis=1)
+                        stays, at = stays[equal[stays] >= m], n
+                    if not len(stays):
+                        continue
+                    mine = np.sort(np.asarray(mine.values))
+                    begin, end = np.searchsorted(joined, mine, "left"), np.searchsorted(joined, mine, "right")
+                    hit = np.zeros(len(joined) + 1, np.int64)
+                    np.add.at(hit, begin, 1)
+                    np.add.at(hit, end, -1)
+                    common = np.bincount(owner[np.cumsum(hit[:-1]) > 0], minlength=len(comps))[stays]
+                    holds = stays[common * 100 >= (len(mine) + sizes[stays] - common) * percent]
+                    chosen = {comps[i]: cids[i] for i in holds}
+                    out += [(min(a, b), max(a, b)) for b in chosen.values()]
+            return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
+
+        return rows.groupBy("major", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+
     @staticmethod
     def _component(members: DataFrame, found: DataFrame | None) -> DataFrame:
         if found is None:
@@ -219,19 +278,22 @@ class NearDuplicates:
             rows, left = total["rows"] or 0, total["pairs"] or 0
             if not left:
                 break
-            last = turn > 0 and (left <= rows or left > 0.7 * before)
+            last = turn > 0 and (left <= rows or left > 0.5 * before)
             if last:
-                inside = now.join(spread.select("bucket", "major"), "bucket")
+                few = spread.filter(F.col("rows") <= self.few).select("bucket", "major")
+                inside = now.join(few, "bucket")
                 minor = inside.filter("comp != major").select("bucket", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
-                pairs = minor.join(now.select("bucket", F.col("cid").alias("b"), F.col("comp").alias("comp_b")), "bucket")
+                pairs = minor.join(inside.select("bucket", F.col("cid").alias("b"), F.col("comp").alias("comp_b")), "bucket")
                 pairs = pairs.filter("a != b AND comp_a != comp_b").select(
                     F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                many = spread.filter(F.col("rows") > self.few).select("bucket", "major")
+                links = self.close(pairs.distinct(), classes).unionByName(self.blocks(now.join(many, "bucket"), classes))
             else:
                 pairs = now.join(spread.select("bucket", F.col("hub.cid").alias("b"), F.col("hub.comp").alias("comp_b")), "bucket")
                 pairs = pairs.filter("comp != comp_b").select(
                     F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b"))
-            links = written(self.close(pairs.distinct(), classes))
-            found = merged(found, links)
+                links = self.close(pairs.distinct(), classes)
+            found = merged(found, written(links))
             before, turn = left, turn + 1
             if last:
                 break
