@@ -34,8 +34,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, begins, ends, text): piece ids with their byte spans, and what they decode to."""
-    model = tokenizer_path("piece_bpe_32k.model")
-    return pieces.decoded(pieces.encoded(docs, model), model, keep=("ids", "begins", "ends"))
+    return pieces.encoded(docs, tokenizer_path("piece_bpe_32k.model"), back=True)
 
 
 STAGES = [

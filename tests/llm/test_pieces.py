@@ -52,3 +52,10 @@ def test_odd_rows(spark, odd_docs):
     assert {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
     assert all(r.covered_bytes == len((t or "").encode()) for r, t in zip(got, [x.text for x in odd_docs.collect()]))
     assert pieces.digests(odd_docs.limit(0), MODEL).count() == 0
+
+
+def test_both_ways_to_decode_agree(small):
+    docs = small["documents"].limit(30)
+    once = {r.doc_id: r.text for r in pieces.encoded(docs, MODEL, back=True).collect()}
+    apart = {r.doc_id: r.text for r in pieces.decoded(pieces.encoded(docs, MODEL), MODEL).collect()}
+    assert once == apart == {r.doc_id: r.text for r in docs.collect()}

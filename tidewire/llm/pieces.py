@@ -97,7 +97,7 @@ class CharacterMap:
 class PieceModel:
     """A BPE piece model read from its file: pieces, scores, kinds and the normaliser's settings."""
 
-    def __init__(self, data: bytes, cache_size: int = 600_000):
+    def __init__(self, data: bytes, cache_size: int = 250_000):
         self.pieces, self.kinds, scores = [], [], {}
         self.dummy = self.squeeze = self.escape = True
         compiled, algorithm = b"", 1
@@ -340,20 +340,27 @@ def _is_char(raw: bytes) -> bool:
 SPANS = "ids array<int>, begins array<int>, ends array<int>"
 
 
-def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, begins, ends): the pieces of each whole text and their spans in its UTF-8 bytes."""
+def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
+    """(key, ids, begins, ends): the pieces of each whole text and their spans in its UTF-8 bytes.
+
+    With ``back``, also ``text``: what the ids decode to, in the same pass.
+    """
     data = file_bytes(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceModel(data)
-        for batch in small_batches(batches, "text"):
+        spellings = coder.spellings()
+        for batch in small_batches(batches, "text", 2 << 20):
             got = [coder.encode(t) for t in batch.column("text").to_pylist()]
             bounds = np.cumsum([0, *(len(g[0]) for g in got)], dtype=np.int32)
             columns = [pa.ListArray.from_arrays(bounds, np.concatenate([_NONE, *(g[k] for g in got)])) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", "ids", "begins", "ends"])
+            if back:
+                columns.append(pa.array([coder.decode(g[0].tolist(), spellings) for g in got], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names)
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = T.StructType([source.schema["key"], *T.StructType.fromDDL(SPANS).fields])
+    schema = T.StructType([source.schema["key"], *T.StructType.fromDDL(SPANS + (", text string" if back else "")).fields])
+    names = schema.names
     return source.mapInArrow(encode, schema).withColumnRenamed("key", key)
 
 
@@ -381,11 +388,9 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
     ``covered_bytes`` are the source bytes inside the spans of its pieces.
     """
-    coded = encoded(docs, model)
-    seen = coded.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+    coded = encoded(docs, model, back=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)) - F.try_element_at("begins", F.lit(1)), F.lit(0)).cast("long").alias("covered_bytes"))
-    back = decoded(seen, model, keep=("n_tokens", "ids_sha256", "covered_bytes"))
-    return back.select("doc_id", "n_tokens", "ids_sha256",
-                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256"), "covered_bytes")
