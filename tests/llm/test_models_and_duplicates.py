@@ -83,6 +83,33 @@ def test_models_in_several_sets_score_the_same(spark, small):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 * abs(a[k]) + 1e-9 for k in a)
 
 
+def test_junk_and_little_clean_text_is_rejected(spark):
+    """Planted toxic, repeated and short junk of a made language, and clean text that no label names."""
+    rng = np.random.default_rng(7)
+    parts = ["the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
+    weights = np.arange(10, 0, -1) / 55
+
+    def clean(n):
+        return " ".join("".join(rng.choice(parts, rng.integers(1, 4), p=weights)) for _ in range(n // 5))[:n]
+
+    sizes = rng.choice([60, 200, 700, 2000], 1000)
+    rows = [(i, clean(n)) for i, n in enumerate(sizes)]
+    labels = [(i, 1, 0) for i in range(600)]  # 600 and on are clean, and not trusted
+    junk = {"short": ["wnrt ohed dnah gzrt"[:k] + " xq" for k in range(12, 19)],
+            "repeated": ["anehre hethwn " * 30 for _ in range(5)],
+            "toxic": [" ".join(w if k % 5 else "kzuv" for k, w in enumerate(clean(700).split())) for _ in range(10)]}
+    ids = {}
+    for kind, texts in junk.items():
+        ids[kind] = range(len(rows), len(rows) + len(texts))
+        rows += zip(ids[kind], texts)
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in rows], "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in kn.QualityModel(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).judged().collect()}
+    for kind, found in ids.items():
+        assert not any(kept[i] for i in found), kind
+    lost = sum(not kept[i] for i in range(600, 1000)) / 400
+    assert 0 < lost < 0.03 and sum(not kept[i] for i in range(600)) / 600 < 0.03
+
+
 def test_odd_rows_are_scored(spark, odd_docs, small):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (5, 1, None), (6, 0, 0), (6, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = kn.QualityModel(odd_docs, labels).judged().collect()
