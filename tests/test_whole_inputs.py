@@ -1,5 +1,6 @@
 """Nothing is cut off: owners, years, publishers; scans prune; merges know their order."""
 
+import os
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,20 @@ def test_scratch_tables_can_be_cleared(spark):
     session.scratch(spark)
     assert session.clear_scratch(spark) == 1 and not session._SCRATCH
     session._SCRATCH[:] = kept
+
+
+def test_feeds_of_many_triggers_lose_and_repeat_nothing(spark, tmp_path):
+    days = [(f"2020-01-{d:02d} 00:00:00", url) for d in range(1, 25, 4) for url in ("a", "b", None, f"u{d}")]
+    rows = spark.createDataFrame(days, "ts string, url string").withColumn("ts", F.to_timestamp("ts"))
+    rows.repartitionByRange(6, "ts").write.parquet(f"{tmp_path}/in")
+    for i, part in enumerate(sorted((tmp_path / "in").glob("part-*"), reverse=True)):
+        os.utime(part, (1.6e9 + i, 1.6e9 + i))  # later days finish first
+    feeds.ordered_files(spark, f"{tmp_path}/in")
+    feed = feeds.read_feed(spark, f"{tmp_path}/in", rows.schema, files_per_trigger=1)
+    feeds.distinct_urls_table(feed, f"{tmp_path}/urls", f"{tmp_path}/s1").trigger(availableNow=True).start().awaitTermination()
+    urls = [r.url for r in spark.read.parquet(f"{tmp_path}/urls").collect()]
+    assert len(urls) == 9 and set(urls) == {None, "a", "b", *(f"u{d}" for d in range(1, 25, 4))}
+    counts = feed.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day")).count().select("window.start", "count")
+    counts.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/n").option(
+        "checkpointLocation", f"{tmp_path}/s2").trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/n").agg(F.sum("count")).first()[0] == 20  # all but the open last day

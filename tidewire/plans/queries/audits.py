@@ -292,6 +292,7 @@ def _feed(x):
     folder = scratch(x.spark)
     batch = x.view("articles").withColumn("ts", F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400))
     batch.repartitionByRange("day").write.mode("overwrite").parquet(f"{folder}/in")
+    feeds.ordered_files(x.spark, f"{folder}/in")
     return batch, feeds.read_feed(x.spark, f"{folder}/in", batch.schema), folder
 
 
@@ -334,4 +335,5 @@ def streamed_activity_blocks(x):
 @query("J4", "SELECT DISTINCT url FROM {articles}")
 def streamed_distinct_urls(x):
     _, feed, folder = _feed(x)
-    return _drain(feeds.distinct_urls(feed.select("ts", "url")), folder).select("url")
+    feeds.distinct_urls_table(feed, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return x.spark.read.parquet(f"{folder}/out").select("url")

@@ -16,6 +16,21 @@ def read_feed(spark: SparkSession, path: str, schema: T.StructType, files_per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def ordered_files(spark: SparkSession, path: str) -> None:
+    """Give the files of a folder modification times in order of their names.
+
+    A feed takes files in order of time. Parts of ``repartitionByRange`` are named in order of their
+    ranges, but may finish in any; delivered by name, no later trigger holds earlier rows.
+    """
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    newest = max((fs.getFileStatus(f).getModificationTime() for f in files), default=0)
+    for i, file in enumerate(files):
+        fs.setTimes(file, newest - len(files) + 1 + i, -1)
+
+
 def _utc_day(ts: Column) -> Column:
     """The UTC calendar day of an instant, whatever the session time zone."""
     days = F.floor(F.unix_seconds(ts) / 86400).cast("int")
@@ -65,6 +80,23 @@ def activity_blocks(feed: DataFrame, key: str, gap: str = "168 hours", delay: st
         F.col("session_window.end").alias("end"), "n")
 
 
+def distinct_urls_table(feed: DataFrame, path: str, checkpoint: str, url: str = "url") -> DataStreamWriter:
+    """Each URL once, however far apart its records are: every micro-batch appends the URLs that no
+    earlier batch has written. A batch that is delivered again replaces what it wrote."""
+    def append(batch: DataFrame, number: int) -> None:
+        fresh = batch.select(url).distinct()
+        try:
+            stored = batch.sparkSession.read.parquet(path).filter(F.col("batch") < number)
+        except Exception as exc:  # the first batch finds no table
+            if "PATH_NOT_FOUND" not in str(exc):
+                raise
+        else:
+            stored = stored.select(F.col(url).alias("_url"))
+            fresh = fresh.join(stored, fresh[url].eqNullSafe(stored["_url"]), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return feed.select(url).writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
+
+
 def distinct_urls(feed: DataFrame, url: str = "url", delay: str = "2 days") -> DataFrame:
     """The first record of each URL inside the watermark."""
     return feed.withWatermark("ts", delay).dropDuplicatesWithinWatermark([url])
