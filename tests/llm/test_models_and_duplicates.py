@@ -97,7 +97,7 @@ def test_junk_and_little_clean_text_is_rejected(spark):
     labels = [(i, 1, 0) for i in range(600)]  # 600 and on are clean, and not trusted
     junk = {"short": ["wnrt ohed dnah gzrt"[:k] + " xq" for k in range(12, 19)],
             "repeated": ["anehre hethwn " * 30 for _ in range(5)],
-            "toxic": [" ".join(w if k % 5 else "kzuv" for k, w in enumerate(clean(700).split())) for _ in range(10)]}
+            "toxic": [" ".join(w if k % 15 else "kzuv" for k, w in enumerate(clean(700).split())) for _ in range(10)]}
     ids = {}
     for kind, texts in junk.items():
         ids[kind] = range(len(rows), len(rows) + len(texts))
