@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import tiktoken
@@ -10,6 +11,9 @@ import tiktoken
 # Fixed value: how texts are cut before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# White space as the pattern has it; longer runs are merged by themselves, as its matching recurses.
+_LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{20000,}")
+
 
 class ByteCoder:
     """Encodes whole texts; strings of special tokens are ordinary text."""
@@ -24,4 +28,13 @@ class ByteCoder:
             self.sizes[i] = len(token)
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.array(self.coder.encode_ordinary(text), np.int64) if text else np.empty(0, np.int64)
+        if not text:
+            return np.empty(0, np.int64)
+        ids, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            # The pattern leaves the last blank of a run to what follows it.
+            end = run.end() - (run.end() < len(text))
+            ids += self.coder.encode_ordinary(text[at:run.start()])
+            ids += self.coder._encode_single_piece(text[run.start():end])
+            at = end
+        return np.array(ids + self.coder.encode_ordinary(text[at:]), np.int64)

@@ -48,7 +48,11 @@ def written(df: DataFrame) -> DataFrame:
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """The place of a public vocabulary file; ``folder`` overrides where it is looked for."""
-    folder = folder or os.environ.get("TIDEWIRE_TOKENIZERS", "/opt/tokenizers")
+    folder = folder or os.environ.get("TIDEWIRE_TOKENIZERS")
+    if folder is None:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
     return os.path.join(folder, name)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewire.llm import (
-    attribution, decontamination, hilbert, kneser_ney, neardup, outliers, packing, pages, pieces, replies,
+    attribution, byte_codec, decontamination, hilbert, kneser_ney, neardup, outliers, packing, pages, pieces, replies,
 )
 from tidewire.llm.common import table, tokenizer_path
 
@@ -109,3 +109,8 @@ def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_reply_order(spark: SparkSession, folder: str) -> DataFrame:
     return replies.reply_ordered(table(spark, folder, "conversations"))
+
+
+@_query
+def op13_byte_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_codec.digests(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
