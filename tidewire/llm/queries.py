@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewire.llm import (
-    attribution, byte_codec, decontamination, hilbert, kneser_ney, neardup, outliers, packing, pages, pieces, replies,
+    attribution, byte_codec, decontamination, hilbert, kneser_ney, neardup, outliers, packing, pages, pieces, repair, replies,
 )
 from tidewire.llm.common import table, tokenizer_path
 
@@ -111,6 +111,63 @@ def op10_reply_order(spark: SparkSession, folder: str) -> DataFrame:
     return replies.reply_ordered(table(spark, folder, "conversations"))
 
 
+@_query
+def op12_lightest_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.Repair(table(spark, folder, "conversations")).result()
+
+
+ORACLE["op12_lightest_repair"] = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+       coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+m AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(key) + 1),
+         lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b),
+         CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM m WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+         left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
+         WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
+moves(p, ins, mid) AS (VALUES (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (2, '', 2),
+         (2, 'I', 3), (3, '', 3), (3, 'I', 2)),
+acts(mid, letter, initial, q, price) AS (VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0),
+         (3, 'K', 'u', 2, 0), (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 2, 3),
+         (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4)),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+st AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit FROM ids
+  UNION ALL
+  SELECT conv_id, n, state, cost, audit FROM (
+    SELECT st.conv_id, f.n, acts.q AS state, st.cost + 3 * len(ins) + price + CASE WHEN fault = 't' AND letter <> 'D' THEN 3 ELSE 0 END AS cost,
+           st.audit || ins || letter AS audit, row_number() OVER (PARTITION BY st.conv_id, acts.q ORDER BY
+           st.cost + 3 * len(ins) + price + CASE WHEN fault = 't' AND letter <> 'D' THEN 3 ELSE 0 END, st.audit || ins || letter) AS place
+    FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.n = st.n + 1 JOIN moves ON moves.p = st.state
+    JOIN acts ON acts.mid = moves.mid AND (acts.initial IS NULL OR acts.initial = f.initial)
+    WHERE letter = 'D' OR fault NOT IN ('b', 'd')) WHERE place = 1),
+tail(state, fin, price) AS (VALUES (0, '', 0), (1, 'II', 6), (2, 'I', 3), (3, '', 0)),
+size_of AS (SELECT conv_id, max(n) AS n FROM st GROUP BY 1),
+best AS (SELECT conv_id, cost, audit FROM (SELECT st.conv_id, cost + price AS cost, audit || fin AS audit, row_number() OVER (
+           PARTITION BY st.conv_id ORDER BY cost + price, audit || fin) AS place FROM st JOIN tail USING (state)
+           JOIN size_of s ON s.conv_id IS NOT DISTINCT FROM st.conv_id AND s.n = st.n) WHERE place = 1),
+letters AS (SELECT conv_id, unnest(range(1, len(audit) + 1)) AS i, audit FROM best),
+used AS (SELECT *, substr(audit, i, 1) AS letter, count(*) FILTER (WHERE substr(audit, i, 1) <> 'I') OVER (
+           PARTITION BY conv_id ORDER BY i) AS n FROM letters),
+kept AS (SELECT used.conv_id, i, letter, role, text, count(*) FILTER (WHERE letter <> 'K' OR f.initial <> 's') OVER (
+           PARTITION BY used.conv_id ORDER BY i) AS turn_no FROM used LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM used.conv_id
+           AND f.n = used.n AND letter <> 'I' WHERE letter <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN turn_no % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+           CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS body FROM kept GROUP BY 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+           count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+           count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 @_query
 def op13_byte_codec(spark: SparkSession, folder: str) -> DataFrame:
     return byte_codec.digests(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
