@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewire.llm import (
-    attribution, byte_codec, decontamination, hilbert, kneser_ney, neardup, outliers, packing, pages, pieces, repair, replies,
+    attribution, byte_codec, decontamination, hilbert, interaction, kneser_ney, neardup, outliers, packing, pages, pieces, repair, replies,
 )
 from tidewire.llm.common import table, tokenizer_path
 
@@ -111,6 +111,39 @@ def op10_reply_order(spark: SparkSession, folder: str) -> DataFrame:
     return replies.reply_ordered(table(spark, folder, "conversations"))
 
 
+@_query
+def op11_filter_interaction(spark: SparkSession, folder: str) -> DataFrame:
+    audit = interaction.InteractionAudit(spark, f"{folder.rstrip('/')}/documents.parquet", table(spark, folder, "labels"))
+    return audit.update().result()
+
+
+ORACLE["op11_filter_interaction"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT w.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+o AS (SELECT '' AS filter_order, 0 AS seen UNION ALL
+      SELECT filter_order || chr(65 + i), seen | (1 << i) FROM o, (SELECT unnest([0, 1, 2, 3, 4]) AS i) WHERE (seen >> i) & 1 = 0),
+s AS (SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+         CAST(coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k, 1)) - 65))), 0) AS INT) AS before
+      FROM (SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INT) AS step FROM o WHERE length(filter_order) = 5)),
+r AS (SELECT part, filter_order, step, bit, CAST(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n * good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n * toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+
 @_query
 def op12_lightest_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.Repair(table(spark, folder, "conversations")).result()
