@@ -196,7 +196,7 @@ SELECT date, vix, {', '.join(f'{rr(k, 6)} AS {k}' for k in (*_NEWS_COLS, 'T1', '
 """)
 def asset_panel(x):
     """News indices, one return column per asset, and the lagged log level."""
-    wide = panels.perception_indices(daily.daily_labels(x.view("articles")))
+    wide = panels.perception_indices(x.labels())
     out = panels.asset_panel(wide, returns(x), ["T1", "T2", "T3"], x.view("market").select("date", "vix"))
     out = out.drop(*[f"vol_{e}" for e in fixed.CORE_LABELS])
     return rounded(out, 6, *_NEWS_COLS, "T1", "T2", "T3", "lvix")
@@ -210,7 +210,7 @@ SELECT date, {rr('"att_UA"', 6)} AS "att_UA", {rr('"tone_WEST"', 6)} AS "tone_WE
   CAST(sum(CASE WHEN date - p > 2 THEN 1 ELSE 0 END) OVER (ORDER BY date) AS INTEGER) AS block FROM j
 """)
 def outcome_panel(x):
-    wide = panels.perception_indices(daily.daily_labels(x.view("articles")))
+    wide = panels.perception_indices(x.labels())
     both = wide.join(x.view("risk").filter("gpr_act < 26"), "date").withColumn("k", F.lit("p"))
     out = series.blocks(both, "k", 2).select(
         "date", "att_UA", "tone_WEST", "gpr_act", "gpr_threat", "block")
@@ -226,15 +226,10 @@ def parquet_sink_round_trip(x):
     return rounded_daily(x.spark.read.parquet(folder).drop("month"))
 
 
-
-
 @query("K9 A1", f"SELECT * FROM ({DAILY_SQL}) WHERE {IN_SPANS}")
 def reused_label_table(x):
-    """The daily label table, written by month once; later reads open only the months they need."""
-    folder = scratch(x.spark)
-    table = daily.daily_labels(x.view("articles")).withColumn("month", F.trunc("day", "month"))
-    tables.write_partitioned(table, folder, ["month"])
-    return rounded_daily(tables.read_days(x.spark, folder, SPANS))
+    """The daily label table that all queries of this input share; only the months asked for are opened."""
+    return rounded_daily(x.daily("daily_labels", daily.daily_labels).read(SPANS))
 
 
 @query("F5", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
-from tidewire.operators import daily, reports, series
+from tidewire.operators import reports, series
 from tidewire.plans.queries.articles import DAILY_RAW, DAILY_SQL
 from tidewire.plans.queries.sources import EVENTS_SQL, RATES_SQL, event_table, rate_parts
 from tidewire.plans.registry import query
@@ -352,7 +352,7 @@ SELECT date, {rr('n_ua::DOUBLE / n_all', 8)} AS ua_share, {rr('ln(1 + n_ua)', 8)
 FROM ({NEWS_WIDE}) WINDOW f AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
 """)
 def news_normalisations(x):
-    table = daily.daily_labels(x.view("articles"))
+    table = x.labels()
 
     def pick(col, e):
         return F.max(F.when(F.col("ecosystem") == e, F.col(col)))
@@ -471,7 +471,7 @@ SELECT ecosystem, {rr("avg(CASE WHEN day < DATE '2022-02-24' THEN share END)", 8
 FROM ({DAILY_SQL}) GROUP BY 1
 """)
 def event_day_shift(x):
-    table = daily.daily_labels(x.view("articles")).withColumn("share", F.round("share", 8))
+    table = x.labels().withColumn("share", F.round("share", 8))
     out = reports.event_shift(table, ["ecosystem"], "share", fixed.INVASION_DATE)
     return rounded(rounded(out, 8, "before", "after"), 7, "shift")
 
@@ -523,7 +523,7 @@ PIVOT = ", ".join(
 @query("D23", f"SELECT day AS date, {PIVOT} FROM ({DAILY_SQL}) WHERE ecosystem IN ('UA','RU_STATE','RU_INDEP','WEST','EN_GLOBAL') GROUP BY day")
 def perception_indices(x):
     from tidewire.plans import panels
-    out = panels.perception_indices(daily.daily_labels(x.view("articles")))
+    out = panels.perception_indices(x.labels())
     out = rounded(out, 8, *[f"att_{e}" for e in fixed.CORE_LABELS])
     return rounded(out, 6, *[f"tone_{e}" for e in fixed.CORE_LABELS])
 
@@ -555,7 +555,7 @@ p AS (SELECT date, feature, i, share - lag(share) OVER (PARTITION BY feature ORD
 SELECT a, b,""", 1))
 def change_correlations(x):
     from tidewire.plans import panels
-    wide = panels.perception_indices(daily.daily_labels(x.view("articles"))).withColumn(
+    wide = panels.perception_indices(x.labels()).withColumn(
         "series", F.lit("news"))
     w = series.by("series")
     changed = wide.withColumns({

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
 from tidewire.functions.tails import normal_sf_sql
-from tidewire.operators import daily, forecasting, reports, series, testing
+from tidewire.operators import forecasting, reports, series, testing
 from tidewire.plans import panels
 from tidewire.plans.queries.articles import DAILY_RAW
 from tidewire.plans.queries.daily_series import PIVOT, RET, W, returns, rounded
@@ -73,7 +73,7 @@ WHERE pos > 250) WHERE m >= 200
 
 def forecast_grid(x):
     """(target, predictor, date, y, bench, model) for every return and news shock."""
-    wide = panels.perception_indices(daily.daily_labels(x.view("articles"))).withColumn(
+    wide = panels.perception_indices(x.labels()).withColumn(
         "k", F.lit("news"))
     w = series.by("k")
     shocks = wide.withColumns({n: series.change(F.col(n), w, 1) for n in NEWS})
@@ -451,7 +451,7 @@ SELECT ecosystem, CAST(median_daily_articles AS DOUBLE) AS median_daily_articles
 
 @query("I15", GATE_SQL)
 def measurement_gate(x):
-    wide = panels.perception_indices(daily.daily_labels(x.view("articles")))
+    wide = panels.perception_indices(x.labels())
     out = testing.measurement_gate(wide, x.view("risk"), fixed.CORE_LABELS, fixed.INVASION_DATE)
     return rounded(rounded(out, 6, "corr_with_risk", "max_pairwise_corr"), 5, "event_z", "mean_tone")
 
@@ -473,7 +473,7 @@ def welch_test(x):
 
 def carried_news(x):
     """News indices with a quiet day filled from at most four rows back."""
-    wide = panels.perception_indices(daily.daily_labels(x.view("articles"))).withColumn(
+    wide = panels.perception_indices(x.labels()).withColumn(
         "k", F.lit("news"))
     w = series.by("k")
     return wide.select("date", *[series.carry(F.col(n), w, 4).alias(n) for n in NEWS])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
-from tidewire.operators import daily, grids, moments, races, series, testing
+from tidewire.operators import grids, moments, races, series, testing
 from tidewire.plans import panels
 from tidewire.plans.queries.daily_series import RET, returns, rounded
 from tidewire.plans.registry import query
@@ -25,9 +25,9 @@ TARGETS = {"T1": "r_spx", "T2": "r_sxxp", "T3": "r_spx"}
 def news_panel(x, kind="tone"):
     """News indices joined to returns, benchmark returns and the lagged log level."""
     if kind == "tone":
-        wide = panels.perception_indices(daily.daily_labels(x.view("articles")))
+        wide = panels.perception_indices(x.labels())
     else:
-        wide = panels.threat_act_indices(daily.daily_threat_act(x.view("articles")))
+        wide = panels.threat_act_indices(x.threat_act())
     return wide.join(spine(x), "date")
 
 
@@ -106,7 +106,7 @@ def threat_act_race(x):
 
 
 def _variant_grid(x):
-    table = daily.daily_variants(x.view("articles"))
+    table = x.variants()
     wide = table.filter(F.col("ecosystem").isin(fixed.CORE_LABELS)).groupBy(
         "variant", F.col("day").alias("date")).agg(*[
             F.max(F.when(F.col("ecosystem") == e, F.col(v))).alias(f"{p}_{e}")
@@ -177,7 +177,7 @@ HALVES = {"all": None, "first half": ("2016-11-01", "2020-06-30"),
 
 
 def _held_out(x):
-    wide = panels.perception_indices(daily.daily_labels(x.view("articles")))
+    wide = panels.perception_indices(x.labels())
     return wide.join(x.view("risk"), "date")
 
 

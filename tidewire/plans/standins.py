@@ -7,7 +7,15 @@ inside the fixed calendar (regimes, windows, episodes). No mapping drops rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidewire import fixed_values
+from tidewire.functions import columns
+from tidewire.operators import daily, labelling
+from tidewire.sources import derived
+from tidewire.sources.derived import DerivedTable
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -193,5 +201,22 @@ class Inputs:
         used = {t: instead.get(t) or self.table(t) for t in BASE_TABLES if "{" + t + "}" in text}
         return self.spark.sql(text, **used)
 
+    def daily(self, name: str, build: Callable[[DataFrame], DataFrame]) -> DerivedTable:
+        """A daily table of the articles that is written once for all queries of this input."""
+        day = F.date_add(F.to_date("l_shipdate"), 8000)
+        rules = derived.rules_of(fixed_values, columns, labelling, daily)
+        return derived.DerivedTable(
+            self.spark, name, self.path("lineitem"), day,
+            lambda rows: build(self.view("articles", lineitem=rows)), [STANDINS["articles"], rules])
+
+    def labels(self) -> DataFrame:
+        return self.daily("daily_labels", daily.daily_labels).read()
+
+    def threat_act(self) -> DataFrame:
+        return self.daily("daily_threat_act", daily.daily_threat_act).read()
+
+    def variants(self) -> DataFrame:
+        return self.daily("daily_variants", daily.daily_variants).read()
+
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames)
