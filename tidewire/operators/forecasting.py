@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidewire.functions import columns as c, draws, tails
-from tidewire.operators import labelling, moments, series, testing
+from tidewire.functions import columns as c, tails
+from tidewire.operators import moments, series, testing, walkforward
 from tidewire.session import durable
 
 
@@ -110,113 +110,14 @@ def combine(forecasts: DataFrame, keys: Sequence[str], keep: Sequence[str] = ())
     return out.filter(F.col("combination_mean").isNotNull())
 
 
-# --- ridge and trees ------------------------------------------------------------------
+# --- ridge ------------------------------------------------------------------------------
 
 def ridge_sets(
     plan: DataFrame, cell: Sequence[str], y: str, sets: Mapping[str, Sequence[str]],
-    alpha: float = 10.0, min_rows: int = 100,
+    alpha: float = 10.0, min_rows: int = 100, impute: bool = False,
 ) -> DataFrame:
-    """Ridge forecasts of every nested feature set from one set of moments.
-
-    Cross products of the widest set hold those of every subset, so the running sums are
-    made once and each set is a small solve on its own rows and columns.
-    """
-    widest: list[str] = []
-    for features in sets.values():
-        widest += [f for f in features if f not in widest]
-    k = len(widest)
-    picks = {name: np.array([widest.index(f) for f in fs]) for name, fs in sets.items()}
-
-    @F.pandas_udf("array<double>")
-    def solve(arrays: pd.Series) -> pd.Series:
-        out = []
-        for a in arrays:
-            m = np.asarray(a, dtype=float).reshape(k + 2, k + 2)
-            rows = []
-            for idx in picks.values():
-                beta = np.zeros(k + 1)
-                if m[0, 0] < min_rows:
-                    beta[0] = m[0, -1] / m[0, 0]
-                else:
-                    on = np.concatenate([[0], idx + 1, [k + 1]])
-                    part = moments.ridge_from_moments(m[np.ix_(on, on)], alpha)
-                    beta[0], beta[idx + 1] = part[0], part[1:]
-                rows.append(beta)
-            out.append(np.concatenate(rows))
-        return pd.Series(out)
-    trained = moments.prefix_moments(
-        plan.filter(F.col(y).isNotNull()), cell, y, widest, "train_step")
-    solved = trained.select(*cell, F.col("step").alias("use_step"), solve("moments").alias("beta"))
-    wanted = plan.filter(F.col("use_step").isNotNull())
-    steps = wanted.select(*cell, "use_step").distinct().join(solved, [*cell, "use_step"], "full")
-    w = series.by(cell, "use_step").rowsBetween(Window.unboundedPreceding, 0)
-    filled = steps.withColumn("beta", F.last("beta", ignorenulls=True).over(w))
-    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in widest])
-    joined = wanted.withColumn("_x", x).join(filled, [*cell, "use_step"])
-    made = F.array(*[F.struct(
-        F.lit(name).alias("info_set"), F.lit(len(picks[name])).alias("n_features"),
-        moments._dot(F.col("_x"), F.slice("beta", i * (k + 1) + 1, k + 1)).alias("forecast"))
-        for i, name in enumerate(picks)])
-    return joined.select(*cell, "date", "pos", y, F.inline(made))
-
-
-def tree_forecasts(
-    plan: DataFrame, cell: Sequence[str], y: str, features: Sequence[str],
-    n_trees: int = 20, depth: int = 3, rate: float = 0.1, subsample: float = 0.8,
-) -> DataFrame:
-    """Boosted trees refit at every cut-off, with the same parameters for every set.
-
-    One distributed fit per (cell, cut-off): a short, fixed list of fits, each over all of
-    its training rows.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    ready = durable(VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        plan.dropna(subset=[y, *features])).select(
-        *cell, "date", "pos", F.col(y).alias("label"), "features", "train_step", "use_step"))
-    jobs = [r.asDict() for r in ready.filter("use_step IS NOT NULL").select(
-        *cell, "use_step").distinct().orderBy(*cell, "use_step").collect()]
-    learner = GBTRegressor(maxIter=n_trees, maxDepth=depth, stepSize=rate,
-                           subsamplingRate=subsample, seed=0)
-    parts = None
-    for job in jobs:
-        mine = F.lit(True)
-        for name in cell:
-            mine = mine & (F.col(name) == job[name])
-        train = ready.filter(mine & (F.col("train_step") <= job["use_step"]))
-        test = ready.filter(mine & (F.col("use_step") == job["use_step"]))
-        scored = learner.fit(train).transform(test).select(
-            *cell, "date", "pos", F.col("label").alias(y), F.col("prediction").alias("forecast"))
-        parts = scored if parts is None else parts.unionByName(scored)
-    if parts is None:
-        raise ValueError("no held-out rows to forecast")
-    return parts
-
-
-def median_imputed(
-    frame: DataFrame, cell: Sequence[str], features: Sequence[str], train_step: str = "train_step",
-    use_step: str = "use_step",
-) -> DataFrame:
-    """Unknown features filled with the median of the training rows of the cut-off.
-
-    Training rows take the median of their own first cut-off, held-out rows that of the
-    cut-off that forecasts them, so nothing later is read. Medians are exact percentiles
-    per (cell, cut-off) over the rows known by then.
-    """
-    step = F.coalesce(use_step, train_step)
-    keyed = frame.withColumn("_step", step)
-    steps = keyed.select(*cell, "_step").distinct()
-    long = labelling.to_long(
-        frame.select(*cell, "date", train_step, *features), [*cell, "date", train_step], features)
-    known = long.filter(F.col("value").isNotNull())
-    seen = steps.join(known, list(cell)).filter(F.col(train_step) <= F.col("_step"))
-    medians = seen.groupBy(*cell, "_step").agg(*[
-        F.percentile(F.when(F.col("feature") == f, F.col("value")), 0.5).alias(f"_m_{f}")
-        for f in features])
-    joined = keyed.join(medians, [*cell, "_step"], "left")
-    return joined.withColumns({f: F.coalesce(f, f"_m_{f}") for f in features}).drop(
-        "_step", *[f"_m_{f}" for f in features])
+    """Ridge forecasts of every nested feature set; see :func:`walkforward.expanding_ridge`."""
+    return walkforward.expanding_ridge(plan, cell, y, sets, alpha, min_rows, impute)
 
 
 # --- variance -------------------------------------------------------------------------
@@ -231,27 +132,31 @@ def variance_targets(returns: DataFrame, key: str, h: int) -> DataFrame:
 
 
 def har_forecasts(
-    returns: DataFrame, key: str, h: int, extra: Mapping[str, Sequence[str]] | None = None,
-    alpha: float = 1.0, refit: int = 21, least: int = 400,
+    returns: DataFrame, key: str, horizons: Sequence[int], extra: Mapping[str, Sequence[str]] | None = None,
+    alpha: float = 1.0, refit: int = 1, least: int = 400,
 ) -> DataFrame:
-    """HAR on log realised variance, exponentiated; ``extra`` adds named feature blocks.
+    """HAR on log realised variance, exponentiated, for every horizon; ``extra`` adds named feature blocks.
 
-    ``returns`` is (key, date, ret, and any extra features, already lagged).
+    ``returns`` is (key, date, ret, and any extra features, already lagged). A row needs its
+    variance only; unknown inputs take the training median of the cut-off.
     """
     w = series.by(key)
     har = ["l1", "l5", "l22"]
-    rows = variance_targets(returns, key, h)
-    rows = rows.withColumns(series.har_terms(F.col("log_rv"), w, h))
     sets = {"HAR-RV": har}
     for name, features in (extra or {}).items():
         sets[f"HAR-RV-X ({name})"] = [*har, *features]
-    widest = list(dict.fromkeys(f for fs in sets.values() for f in fs))
-    frame = common_frame(rows, "log_rv", widest, [key], least)
-    plan = walk_forward(frame, [key], h, refit=refit)
-    fits = ridge_sets(plan, [key], "log_rv", sets, alpha)
-    actual = plan.select(key, "date", "rv")
-    return fits.join(actual, [key, "date"]).select(
-        key, "date", "rv", F.col("info_set").alias("model"), F.exp("forecast").alias("forecast"))
+    rows = None
+    for h in horizons:
+        part = variance_targets(returns, key, h)
+        part = part.withColumns(series.har_terms(F.col("log_rv"), w, h)).withColumn("horizon", F.lit(h))
+        rows = part if rows is None else rows.unionByName(part)
+    cell = [key, "horizon"]
+    known = rows.filter(F.col("log_rv").isNotNull()).withColumn("_n", F.count("*").over(series.whole(cell)))
+    plan = walk_forward(durable(known.filter(F.col("_n") >= least).drop("_n")), cell, "horizon", refit=refit)
+    fits = ridge_sets(plan, cell, "log_rv", sets, alpha, impute=True)
+    actual = plan.select(*cell, "date", "rv")
+    return fits.join(actual, [*cell, "date"]).select(
+        *cell, "date", "rv", F.col("info_set").alias("model"), F.exp("forecast").alias("forecast"))
 
 
 def variance_grid(alphas: Sequence[float], betas: Sequence[float],
@@ -313,7 +218,7 @@ def variance_benchmark(
         key, "date", "step", "m.*", "train_qlike", "rv", F.col("h").alias("forecast"))
 
 
-# --- attribution and power --------------------------------------------------------------
+# --- attribution --------------------------------------------------------------
 
 def permuted(
     df: DataFrame, cell: Sequence[str], columns: Sequence[str], seed: int, date: str = "date",
@@ -372,33 +277,5 @@ def block_attribution(
         "per_feature": F.col("loss_increase") / F.col("features")})
 
 
-def power_curve(
-    spark: SparkSession, sigma: DataFrame, effects: Sequence[float], n_paths: int, n_days: int,
-    min_train: int = 250, alpha: float = 0.05, seed: int = 0,
-) -> DataFrame:
-    """Rejection rate of the nested-model test when a predictor of known strength is planted.
-
-    Every (effect, path, day) is a row with hashed normal draws, so paths run in parallel
-    and a retried task sees the same draws. ``sigma`` holds (series, sigma) from data.
-    """
-    rows = sigma.withColumn("effect", F.explode(F.array(*[F.lit(float(e)) for e in effects])))
-    rows = rows.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(n_paths))))
-    cell = ["series", "effect", "path"]
-    days = rows.repartition(*[F.col(k) for k in cell]).withColumn(
-        "date", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))))
-    key = [F.col("series"), F.col("effect"), F.col("path"), F.col("date")]
-    x = draws.normal("x", seed, *key)
-    noise = draws.normal("noise", seed, *key)
-    made = days.withColumn("x", x).withColumn("y", F.col("sigma") * (
-        F.sqrt("effect") * F.col("x") + F.sqrt(F.greatest(1.0 - F.col("effect"), F.lit(1e-9))) * noise))
-    forecasts = predictor_grid(made.select(*cell, "date", "y", "x"), cell, min_train, least=2)
-    tested = testing.clark_west(forecasts, cell, "y", "bench", "model")
-    rate = F.avg((F.col("cw_p") < alpha).cast("double"))
-    out = tested.groupBy("series", "effect").agg(
-        rate.alias("rejection_rate"), F.count("*").alias("n_paths"), F.max("n").alias("n_oos"))
-    return out.withColumn("binomial_error", F.sqrt(
-        F.col("rejection_rate") * (1.0 - F.col("rejection_rate")) / F.col("n_paths")))
-
-
 def p_two_sided_t(stat: Column, n: Column) -> Column:
     return tails.t_two_sided(stat, (n - 1).cast("double"))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
 from tidewire.functions.tails import normal_sf_sql
-from tidewire.operators import forecasting, reports, series, testing
+from tidewire.operators import forecasting, reports, series, testing, walkforward
 from tidewire.plans import panels
 from tidewire.plans.queries.articles import DAILY_RAW
 from tidewire.plans.queries.daily_series import PIVOT, RET, W, returns, rounded
 from tidewire.plans.registry import query
 from tidewire.plans.sqltext import r, rr
 
+TICKERS = ("T1", "T2", "T3", "T4", "T5")
 NEWS = [f"{p}_{e}" for e in fixed.CORE_LABELS for p in ("att", "tone")]
 PAST = "(PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND {} PRECEDING)"
 
@@ -491,16 +492,16 @@ def model_panel(x):
     return panels.model_panel(trading, ["T1", "T2", "r_spx"], ["vix"], indices, phys)
 
 
-def plan_for(x, horizons=(1, 5), refit=21):
+def plan_for(x, horizons=(1, 5), refit=21, targets=("T1", "T2")):
     """Common complete-case frame and cut-offs of every (target, horizon) cell."""
     panel, sets = model_panel(x)
     panel = panel.filter("NOT attack_unobserved").withColumn("k", F.lit("p"))
     w = series.by("k")
     ys = F.array(*[F.struct(
         F.lit(t).alias("target"), F.lit(h).alias("horizon"), F.col(f"_{t}_{h}").alias("y"))
-        for t in ("T1", "T2") for h in horizons])
+        for t in targets for h in horizons])
     made = panel.withColumns({
-        f"_{t}_{h}": series.forward_sum(F.col(t), w, h) for t in ("T1", "T2") for h in horizons})
+        f"_{t}_{h}": series.forward_sum(F.col(t), w, h) for t in targets for h in horizons})
     cells = made.select("date", *sets["PNG"], F.inline(ys))
     cell = ["target", "horizon"]
     frame = forecasting.common_frame(cells, "y", sets["PNG"], cell, least=300)
@@ -595,33 +596,35 @@ def ridge_race(x):
 
 @query("H4")
 def tree_race(x):
-    """Boosted trees on two sets with identical parameters."""
-    plan, sets, cell = plan_for(x, horizons=(1,), refit=120)
-    plan = plan.filter("target = 'T1'")
-    out = None
-    for name in ("F", "PN"):
-        part = forecasting.tree_forecasts(plan, cell, "y", sets[name], n_trees=10).withColumn(
-            "info_set", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    rows = _scored(plan, out, cell)
-    return testing.loss_table(rows, [*cell, "info_set"], "y", "forecast", "bench")
+    """Boosted trees with identical parameters on every nested set: 200 trees at rate 0.05 of
+    depth 3, refit every 21 rows, three targets, two horizons."""
+    plan, sets, cell = plan_for(x, targets=("T1", "T2", "T3"))
+    rows = _scored(plan, walkforward.boosted_sets(plan, cell, "y", sets), cell)
+    keys = [*cell, "info_set"]
+    table = testing.loss_table(rows, keys, "y", "forecast", "bench")
+    cw = testing.clark_west(rows, keys, "y", "bench", "forecast", "horizon", 5).drop("n")
+    return testing.benjamini_hochberg(table.join(cw, keys), "cw_p")
 
 
 @query("H5")
 def har_race(x):
-    """HAR and HAR with news blocks, QLIKE against plain HAR, with the accuracy test."""
-    wide = carried_news(x).withColumn("k", F.lit("n"))
-    w = series.by("k")
-    news = wide.select("date", *[series.change(F.col(n), w, 1).alias(n) for n in NEWS])
-    rows = returns(x).join(news, "date", "left")
-    out = forecasting.har_forecasts(rows, "ticker", 5, {"N": NEWS}, least=300, refit=1)
-    base = out.filter("model = 'HAR-RV'").select("ticker", "date", F.col("forecast").alias("bench"))
-    both = out.filter("model <> 'HAR-RV'").join(base, ["ticker", "date"])
-    loss = both.groupBy("ticker", "model").agg(
+    """HAR and HAR with physical, news and gap blocks at two horizons, QLIKE against plain HAR,
+    with the accuracy test."""
+    panel, sets = model_panel(x)
+    phys, news = ([f for f in sets[s] if f not in sets["F"]] for s in ("P", "N"))
+    gaps = [f for f in sets["PNG"] if f not in sets["PN"]]
+    known = panel.filter("NOT attack_unobserved").select("date", *phys, *news, *gaps)
+    rows = returns(x).join(known, "date")
+    blocks = {"P": phys, "N": news, "PN": phys + news, "PNG": phys + news + gaps}
+    out = forecasting.durable(forecasting.har_forecasts(rows, "ticker", (1, 5), blocks, least=300))
+    base = out.filter("model = 'HAR-RV'").select("ticker", "horizon", "date", F.col("forecast").alias("bench"))
+    both = out.filter("model <> 'HAR-RV'").join(base, ["ticker", "horizon", "date"])
+    keys = ["ticker", "horizon", "model"]
+    loss = both.groupBy(*keys).agg(
         F.avg(c.qlike(F.col("rv"), F.col("forecast"))).alias("qlike"),
         F.avg(c.qlike(F.col("rv"), F.col("bench"))).alias("qlike_har"))
-    dm = testing.diebold_mariano(both, ["ticker", "model"], "rv", "forecast", "bench", "qlike", 5)
-    return loss.join(dm, ["ticker", "model"])
+    dm = testing.diebold_mariano(both, keys, "rv", "forecast", "bench", "qlike", "horizon", 5)
+    return loss.join(dm, keys)
 
 
 @query("H6 Q4")
@@ -644,28 +647,19 @@ def block_attribution(x):
 
 @query("H11")
 def weekend_comparison(x):
-    """The same ridge with all rows and with weekdays only; unknown inputs take the
+    """The same ridge with all rows and with weekdays only, for every series; unknown inputs take the
     training median of their cut-off."""
     panel, sets = model_panel(x)
     calendars = F.array_compact(F.array(
         F.lit("all rows"), F.when(c.weekday("date") < 5, F.lit("weekdays only"))))
-    rows = panel.filter("T1 IS NOT NULL").select(
-        "date", F.col("T1").alias("y"), *sets["N"], F.explode(calendars).alias("calendar"))
-    cell = ["calendar"]
+    ys = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in TICKERS])
+    rows = panel.select("date", *sets["N"], F.explode(calendars).alias("calendar"), ys.alias("ys"))
+    rows = rows.select("date", *sets["N"], "calendar", F.inline("ys")).filter("y IS NOT NULL")
+    cell = ["calendar", "target"]
     plan = forecasting.walk_forward(forecasting.durable(rows), cell, 1)
-    filled = forecasting.median_imputed(plan, cell, sets["N"])
-    complete = forecasting.durable(filled).filter(c.all_known(sets["N"]))
     pair = {"F": sets["F"], "N": sets["N"]}
-    scored = _scored(plan, forecasting.ridge_sets(complete, cell, "y", pair), cell)
+    scored = _scored(plan, forecasting.ridge_sets(plan, cell, "y", pair, impute=True), cell)
     keys = [*cell, "info_set"]
     fit = testing.oos_fit(scored, keys, "y", "forecast", "bench")
     cw = testing.clark_west(scored, keys, "y", "bench", "forecast").drop("n")
     return fit.join(cw, keys)
-
-
-@query("I11")
-def power_curve(x):
-    """Rejection rates for planted effects, on the deviation of a real series."""
-    sigma = returns(x).groupBy(F.col("ticker").alias("series")).agg(
-        F.stddev_pop("ret").alias("sigma")).filter("series = 'T1'")
-    return forecasting.power_curve(x.spark, sigma, (0.0, 0.01, 0.04), 60, 600)
