@@ -109,20 +109,27 @@ def attach(base: DataFrame, *parts: DataFrame, on: str = "date", how: str = "lef
     return base
 
 
-def next_trading_day(days: DataFrame, trading: DataFrame, strict: bool = True) -> DataFrame:
-    """For every day, the first trading day after it (or on it, if not strict).
+def next_trading_day(days: DataFrame, trading: DataFrame, strict: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """For every day, the first trading day after it (or on it, if not strict), by key.
 
-    One pass over the union of both calendars: the smallest trading day ahead.
+    Days meet the trading days of their month and, beyond it, the first trading day of the months
+    after it. So a calendar of any length is a table of months and joins by month, and no window
+    runs over more than one month of days or one calendar of months.
     """
-    both = days.select("date", F.lit(True).alias("asked"), F.lit(None).cast("date").alias("open_day"))
-    both = both.unionByName(
-        trading.select("date", F.lit(False).alias("asked"), F.col("date").alias("open_day")))
-    merged = both.groupBy("date").agg(
-        F.bool_or("asked").alias("asked"), F.max("open_day").alias("open_day"))
-    w = Window.partitionBy(F.lit("calendar")).orderBy("date").rowsBetween(
-        1 if strict else 0, Window.unboundedFollowing)
-    ahead = merged.withColumn("trading_day", F.first("open_day", ignorenulls=True).over(w))
-    return ahead.filter("asked").select("date", "trading_day")
+    keys = list(keys)
+    month = F.trunc("date", "month")
+    open_days = trading.select(*keys, "date", month.alias("_m")).distinct()
+    firsts = open_days.groupBy(*keys, "_m").agg(F.min("date").alias("_first"))
+    asked_months = days.select(*keys, month.alias("_m")).distinct().withColumn("_first", F.lit(None).cast("date"))
+    w = Window.partitionBy(*keys or [F.lit("calendar")]).orderBy("_m").rowsBetween(1, Window.unboundedFollowing)
+    months = asked_months.unionByName(firsts).groupBy(*keys, "_m").agg(F.max("_first").alias("_first"))
+    later = months.select(*keys, "_m", F.first("_first", ignorenulls=True).over(w).alias("_later"))
+    both = days.select(*keys, "date", month.alias("_m"), F.lit(True).alias("_asked"), F.lit(None).cast("date").alias("_open"))
+    both = both.unionByName(open_days.select(*keys, "date", "_m", F.lit(False).alias("_asked"), F.col("date").alias("_open")))
+    merged = both.groupBy(*keys, "_m", "date").agg(F.bool_or("_asked").alias("_asked"), F.max("_open").alias("_open"))
+    inside = Window.partitionBy(*keys, "_m").orderBy("date").rowsBetween(1 if strict else 0, Window.unboundedFollowing)
+    ahead = merged.withColumn("_open", F.first("_open", ignorenulls=True).over(inside)).filter("_asked")
+    return ahead.join(later, [*keys, "_m"], "left").select(*keys, "date", F.coalesce("_open", "_later").alias("trading_day"))
 
 
 def weekly(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c, draws, tails
@@ -318,70 +320,79 @@ def bootstrap_break(
 # --- model confidence set ---------------------------------------------------------------
 
 def replicate_means(
-    losses: DataFrame, n_boot: int, seed: int = 0,
+    losses: DataFrame, n_boot: int, seed: int = 0, cell: Sequence[str] = (),
 ) -> DataFrame:
-    """(rep, model, mean) of i.i.d. resamples of periods.
+    """(cell, rep, model, mean) of i.i.d. resamples of a cell's periods.
 
-    ``losses`` is (period, model, loss) on common periods. A resample is a weight per
+    ``losses`` is (cell, period, model, loss) on common periods. A resample is a weight per
     (rep, period), so each replicate mean is a weighted mean: the losses meet the weights
     by an equality join on the period and shrink map-side.
     """
-    periods = losses.select("period").distinct()
-    order = Window.partitionBy(F.lit("periods")).orderBy("period")
+    cell = list(cell)
+    periods = losses.select(*cell, "period").distinct()
+    parts = [F.col(k) for k in cell] or [F.lit("periods")]
+    order = Window.partitionBy(*parts).orderBy("period")
     placed = periods.withColumn("pos", (F.row_number().over(order) - 1).cast("bigint"))
-    everyone = Window.partitionBy(F.lit("periods"))
     draws_rows = placed.select(
-        F.col("pos").alias("t"), F.count("*").over(everyone).alias("size")
+        *cell, F.col("pos").alias("t"), F.count("*").over(Window.partitionBy(*parts)).alias("size")
     ).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     weights = draws_rows.withColumn(
         "pos", draws.index(F.col("size"), seed, F.col("rep"), F.col("t"))
-    ).groupBy("rep", "pos").agg(F.count("*").alias("weight"))
-    weighted = weights.join(placed, "pos").join(losses, "period")
-    return weighted.groupBy("rep", "model").agg(
+    ).groupBy(*cell, "rep", "pos").agg(F.count("*").alias("weight"))
+    weighted = weights.join(placed, [*cell, "pos"]).join(losses, [*cell, "period"])
+    return weighted.groupBy(*cell, "rep", "model").agg(
         (F.sum(F.col("loss") * F.col("weight")) / F.sum("weight")).alias("mean"))
 
 
 def confidence_set(
-    losses: DataFrame, alpha: float = 0.10, n_boot: int = 500, seed: int = 0,
+    losses: DataFrame, cell: Sequence[str] = (), alpha: float = 0.10, n_boot: int = 500, seed: int = 0,
 ) -> DataFrame:
-    """Models that cannot be told apart from the best one.
+    """Models of each cell that cannot be told apart from its best one.
 
-    Replicate means do not depend on which models survive, so they are computed once. The
-    steps that drop models then run on that table of replicates x models; each step takes
-    one aggregated row of it to the driver.
+    Replicate means do not depend on which models survive, so they are computed once for all
+    cells. The steps that drop models only look at a cell's replicates x models, so cells take
+    their steps side by side, each on its own small matrix. A cell of one model keeps it.
     """
-    from tidewire.session import durable
+    cell = list(cell)
     common = losses.filter(F.col("loss").isNotNull())
-    names = [r["model"] for r in common.select("model").distinct().orderBy("model").collect()]
-    if len(names) < 2:
-        raise ValueError("need at least two models to compare")
-    full = common.groupBy("period").agg(F.count("*").alias("k")).filter(F.col("k") == len(names))
-    common = common.join(full.select("period"), "period", "left_semi")
-    observed = common.groupBy("model").agg(F.avg("loss").alias("d"), F.count("*").alias("n"))
-    boot = replicate_means(common, n_boot, seed)
-    table = durable(boot.join(observed, "model").withColumn("b", F.col("mean") - F.col("d")))
-    alive, rows, step = set(names), [], 0
-    while len(alive) > 1:
-        step += 1
-        sub = table.filter(F.col("model").isin(sorted(alive)))
-        by_model, by_rep = series.whole("model"), series.whole("rep")
-        scaled = sub.withColumn("v", F.var_samp("b").over(by_model)).withColumns({
-            "t": (F.col("d") - F.avg("d").over(by_rep)) / F.sqrt(F.col("v") / F.col("n")),
-            "bt": (F.col("b") - F.avg("b").over(by_rep)) / F.sqrt(F.col("v") / F.col("n"))})
-        per_rep = scaled.filter(F.col("v") > 0).groupBy("rep").agg(
-            F.max(F.abs("t")).alias("stat"), F.max(F.abs("bt")).alias("boot"),
-            F.max_by("model", F.struct("t", "model")).alias("worst"))
-        found = per_rep.agg(F.max("stat").alias("stat"), F.min("worst").alias("worst"),
-                            F.percentile("boot", 1.0 - alpha).alias("crit")).first()
-        if found["stat"] is None or found["stat"] <= found["crit"]:
-            break
-        rows.append((found["worst"], step, found["stat"], found["crit"]))
-        alive.remove(found["worst"])
-    rows += [(m, None, None, None) for m in sorted(alive)]
-    spark = losses.sparkSession
-    out = spark.createDataFrame(
-        rows, "model string, eliminated_at_step int, statistic double, critical_value double")
-    return out.withColumn("in_confidence_set", F.col("eliminated_at_step").isNull())
+    sized = common.groupBy(*cell, "period").agg(F.count_distinct("model").alias("k"))
+    most = common.groupBy(*cell).agg(F.count_distinct("model").alias("models"))
+    if cell:
+        full = sized.join(most, cell).filter("k = models").select(*cell, "period")
+    else:
+        full = sized.join(F.broadcast(most), F.col("k") == F.col("models")).select("period")
+    common = common.join(full, [*cell, "period"], "left_semi")
+    observed = common.groupBy(*cell, "model").agg(F.avg("loss").alias("d"), F.count("*").alias("n"))
+    table = replicate_means(common, n_boot, seed, cell).join(observed, [*cell, "model"])
+    shape = T.StructType([*(losses.schema[k] for k in cell), *T.StructType.fromDDL(
+        "model string, eliminated_at_step int, statistic double, critical_value double").fields])
+
+    def steps(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
+        wide = mine.pivot(index="rep", columns="model", values="mean").sort_index(axis=1)
+        own = mine.drop_duplicates("model").set_index("model").loc[wide.columns]
+        d, n = own["d"].to_numpy(), own["n"].to_numpy()
+        b = wide.to_numpy() - d
+        scale = np.sqrt(b.var(0, ddof=1) / n)
+        alive, gone = np.arange(len(d)), {}
+        while len(alive) > 1:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = (d[alive] - d[alive].mean()) / scale[alive]
+                bt = (b[:, alive] - b[:, alive].mean(1, keepdims=True)) / scale[alive]
+            use = scale[alive] > 0
+            if not use.any():
+                break
+            stat = np.abs(t[use]).max()
+            critical = np.quantile(np.abs(bt[:, use]).max(1), 1.0 - alpha)
+            if stat <= critical:
+                break
+            worst = alive[use][np.flatnonzero(t[use] == t[use].max())[-1]]
+            gone[worst] = len(gone) + 1, stat, critical
+            alive = alive[alive != worst]
+        rows = [(*key, m, *gone.get(i, (None, None, None))) for i, m in enumerate(wide.columns)]
+        return pd.DataFrame(rows, columns=shape.names).astype({"eliminated_at_step": "Int32"})
+
+    groups = table.groupBy(*cell) if cell else table.groupBy()
+    return groups.applyInPandas(steps, shape).withColumn("in_confidence_set", F.col("eliminated_at_step").isNull())
 
 
 # --- comparisons ---------------------------------------------------------------------------

@@ -145,7 +145,7 @@ WITH r AS (SELECT ticker, date, adjclose, CASE WHEN adjclose > 0 AND lag(adjclos
 p AS (SELECT date, {', '.join(f"avg(ret) FILTER (WHERE ticker IN {v}) AS {k}, count(adjclose) FILTER (WHERE ticker IN {v}) AS n_{k}" for k, v in _SETS.items())},
   max(ret) FILTER (WHERE ticker = 'T1') AS r_ita, max(ret) FILTER (WHERE ticker = 'T3') AS spx,
   max(adjclose) FILTER (WHERE ticker = 'T5') AS vix FROM r GROUP BY 1),
-j AS (SELECT p.*, gpr_act FROM p LEFT JOIN (SELECT date, gpr_act FROM {{risk}} WHERE gpr_act > 23) USING (date)
+j AS (SELECT p.*, gpr_act FROM p LEFT JOIN (SELECT date, CASE WHEN gpr_act > 23 THEN gpr_act END AS gpr_act FROM {{risk}}) USING (date)
   WHERE date BETWEEN DATE '2017-01-01' AND DATE '2023-06-30'),
 k AS (SELECT * REPLACE (last_value(gpr_act IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS gpr_act) FROM j)
 SELECT date, {rr('us_defence', 6)} AS us_defence, n_us_defence, {rr('eu_defence', 6)} AS eu_defence, n_eu_defence,
@@ -154,33 +154,35 @@ SELECT date, {rr('us_defence', 6)} AS us_defence, n_us_defence, {rr('eu_defence'
 FROM k WHERE us_defence IS NOT NULL AND eu_defence IS NOT NULL AND gpr_act IS NOT NULL
 """)
 def equity_panel(x):
-    risk = x.view("risk").filter("gpr_act > 23").select("date", "gpr_act")
+    risk = x.view("risk").selectExpr("date", "IF(gpr_act > 23, gpr_act, NULL) AS gpr_act")
     out = panels.equity_panel(
         x.view("prices"), _SETS, {"r_ita": "T1"}, {"spx": "T3"}, {"vix": "T5"}, risk,
         "2017-01-01", "2023-06-30", ["us_defence", "eu_defence", "gpr_act"])
     return rounded(out, 6, "us_defence", "eu_defence", "r_ita", "spx")
 
 
+_TICKERS = ("T1", "T2", "T3", "T4", "T5")
+_CARRIED = ("gpr_act", "gpr_threat", "spx", "vix")
+
+
 @query("K4", f"""
-WITH i AS (SELECT date, max(adjclose) FILTER (WHERE ticker = 'T1') AS a, max(adjclose) FILTER (WHERE ticker = 'T2') AS b
-  FROM {{prices}} WHERE ticker IN ('T1', 'T2') GROUP BY 1),
-q AS (SELECT *, 100 * ln(a / lag(a) OVER w) AS ra, 100 * ln(b / lag(b) OVER w) AS rb FROM i WINDOW w AS (ORDER BY date)),
+WITH i AS (SELECT date, {', '.join(f"max(adjclose) FILTER (WHERE ticker = '{t}') AS {t}" for t in _TICKERS)} FROM {{prices}} GROUP BY 1),
+q AS (SELECT *, {', '.join(f"100 * ln({t} / lag({t}) OVER w) AS r{t}" for t in _TICKERS)} FROM i WINDOW w AS (ORDER BY date)),
 j AS (SELECT q.*, gpr_act, gpr_threat, spx, vix FROM q LEFT JOIN {{risk}} USING (date) LEFT JOIN {{market}} USING (date)
   WHERE date BETWEEN DATE '2018-01-01' AND DATE '2023-06-30'),
-k AS (SELECT date, ra, rb, {', '.join(f"last_value({n} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS {n}" for n in ('gpr_act', 'gpr_threat', 'spx', 'vix'))} FROM j),
+k AS (SELECT date, {', '.join(f'r{t}' for t in _TICKERS)}, {', '.join(f"last_value({n} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS {n}" for n in _CARRIED)} FROM j),
 m AS (SELECT *, 100 * ln(spx / lag(spx) OVER (ORDER BY date)) AS r_mkt, lag(ln(vix)) OVER (ORDER BY date) AS lvix FROM k)
-SELECT date, {rr('ra', 6)} AS r_a, {rr('abs(rb)', 6)} AS vol_b, gpr_act, gpr_threat, {rr('r_mkt', 6)} AS r_mkt, {rr('lvix', 6)} AS lvix
-FROM m WHERE ra IS NOT NULL AND rb IS NOT NULL AND gpr_act IS NOT NULL AND gpr_threat IS NOT NULL
+SELECT date, {', '.join(f"{rr(f'r{t}', 6)} AS r_{t}, {rr(f'abs(r{t})', 6)} AS vol_{t}" for t in _TICKERS)}, gpr_act, gpr_threat,
+  {rr('r_mkt', 6)} AS r_mkt, {rr('lvix', 6)} AS lvix
+FROM m WHERE {' AND '.join(f'r{t} IS NOT NULL' for t in _TICKERS)} AND gpr_act IS NOT NULL AND gpr_threat IS NOT NULL
 """)
 def index_only_panel(x):
     from tidewire.sources import markets
-    idx = markets.join_series(x.view("prices").filter("ticker IN ('T1', 'T2')"), ["T1", "T2"],
-                              key="ticker", value="adjclose")
-    idx = idx.withColumnsRenamed({"T1": "a", "T2": "b"})
-    out = panels.index_panel(idx, ["a", "b"], x.view("risk"), x.view("market").drop("sxxp"),
+    idx = markets.join_series(x.view("prices"), _TICKERS, key="ticker", value="adjclose")
+    out = panels.index_panel(idx, _TICKERS, x.view("risk"), x.view("market").drop("sxxp"),
                              "2018-01-01", "2023-06-30")
-    return rounded(out.select("date", "r_a", "vol_b", "gpr_act", "gpr_threat", "r_mkt", "lvix"),
-                   6, "r_a", "vol_b", "r_mkt", "lvix")
+    made = [f"{p}_{t}" for t in _TICKERS for p in ("r", "vol")]
+    return rounded(out.select("date", *made, "gpr_act", "gpr_threat", "r_mkt", "lvix"), 6, *made, "r_mkt", "lvix")
 
 
 _CORE = "ecosystem IN ('UA', 'RU_STATE', 'RU_INDEP', 'WEST', 'EN_GLOBAL')"
@@ -205,13 +207,14 @@ def asset_panel(x):
 @query("K7 E8", f"""
 WITH w AS (SELECT day AS date, {PIVOT} FROM ({DAILY_RAW}) WHERE {_CORE} GROUP BY day),
 j AS (SELECT date, "att_UA", "tone_WEST", gpr_act, gpr_threat, lag(date) OVER (ORDER BY date) AS p FROM (
-  SELECT * FROM w JOIN (SELECT * FROM {{risk}} WHERE gpr_act < 26) USING (date)))
+  SELECT * FROM w JOIN (SELECT * REPLACE (CASE WHEN gpr_act < 26 THEN gpr_act END AS gpr_act) FROM {{risk}}) USING (date)))
 SELECT date, {rr('"att_UA"', 6)} AS "att_UA", {rr('"tone_WEST"', 6)} AS "tone_WEST", gpr_act, gpr_threat,
   CAST(sum(CASE WHEN date - p > 2 THEN 1 ELSE 0 END) OVER (ORDER BY date) AS INTEGER) AS block FROM j
 """)
 def outcome_panel(x):
     wide = panels.perception_indices(x.labels())
-    both = wide.join(x.view("risk").filter("gpr_act < 26"), "date").withColumn("k", F.lit("p"))
+    risk = x.view("risk").withColumn("gpr_act", F.expr("IF(gpr_act < 26, gpr_act, NULL)"))
+    both = wide.join(risk, "date").withColumn("k", F.lit("p"))
     out = series.blocks(both, "k", 2).select(
         "date", "att_UA", "tone_WEST", "gpr_act", "gpr_threat", "block")
     return rounded(out, 6, "att_UA", "tone_WEST")
@@ -232,12 +235,12 @@ def reused_label_table(x):
     return rounded_daily(x.daily("daily_labels", daily.daily_labels).read(SPANS))
 
 
-@query("F5", """
-SELECT date FROM {prices} WHERE ticker = 'T1' INTERSECT SELECT date FROM {prices} WHERE ticker = 'T2'
-""")
+@query("F5", " INTERSECT ".join(f"SELECT date FROM {{prices}} WHERE ticker = '{t}'" for t in _TICKERS))
 def common_days(x):
-    p = x.view("prices")
-    return p.filter("ticker = 'T1'").select("date").intersect(p.filter("ticker = 'T2'").select("date"))
+    """Days on which every series is quoted: one count a day against the number of series."""
+    p = x.view("prices").select("date", "ticker").distinct()
+    n = p.agg(F.count_distinct("ticker").alias("all"))
+    return p.groupBy("date").agg(F.count("*").alias("n")).join(F.broadcast(n), F.col("n") == F.col("all")).select("date")
 
 
 _GRID = {"2017-19 episodes": ("2017-04-23", "2019-10-21"), "all ingested days": None}
@@ -247,13 +250,12 @@ _GRID = {"2017-19 episodes": ("2017-04-23", "2019-10-21"), "all ingested days":
 SELECT "window", target, count(*) AS n, count(y) AS n_known, min(date) AS first_day, {rr('avg(y)', 6)} AS mean_y FROM (
   SELECT w AS "window", ticker AS target, date, ret AS y FROM ({RET}) CROSS JOIN (
     SELECT '2017-19 episodes' AS w, DATE '2017-04-23' AS a, DATE '2019-10-21' AS b
-    UNION ALL SELECT 'all ingested days', DATE '1900-01-01', DATE '2100-01-01') WHERE date BETWEEN a AND b
-  AND ticker IN ('T1', 'T2')) GROUP BY 1, 2 HAVING count(y) >= 40
+    UNION ALL SELECT 'all ingested days', DATE '1900-01-01', DATE '2100-01-01') WHERE date BETWEEN a AND b) GROUP BY 1, 2 HAVING count(y) >= 40
 """)
 def grid_cells(x):
     """(window, target) cells and the days each one uses."""
     from tidewire.operators import grids
-    rows = grids.in_windows(returns(x).filter("ticker IN ('T1', 'T2')"), _GRID).withColumn("target", F.col("ticker"))
+    rows = grids.in_windows(returns(x), _GRID).withColumn("target", F.col("ticker"))
     kept = grids.enough_targets(rows.withColumn("y", F.col("ret")), ["window", "target"])
     return rounded(kept.groupBy("window", "target").agg(
         F.count("*").alias("n"), F.count("y").alias("n_known"), F.min("date").alias("first_day"),

@@ -106,22 +106,22 @@ def spine_coverage(x):
 
 @query("C5", f"""
 SELECT date, last_value(gpr IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
-  AS gpr FROM ({SPINE_DAYS}) LEFT JOIN (SELECT date, gpr FROM {{risk}} WHERE gpr > 26.5) USING (date)
+  AS gpr FROM ({SPINE_DAYS}) LEFT JOIN (SELECT date, CASE WHEN gpr > 26.5 THEN gpr END AS gpr FROM {{risk}}) USING (date)
 """)
 def carry_four_rows(x):
     cal = series.span_calendar(x.view("risk"))
-    sparse = x.view("risk").filter("gpr > 26.5").select("date", "gpr")
+    sparse = x.view("risk").selectExpr("date", "IF(gpr > 26.5, gpr, NULL) AS gpr")
     joined = series.attach(cal, sparse).withColumn("series", F.lit("gpr"))
     out = joined.withColumn("gpr", series.carry(F.col("gpr"), series.by("series"), 4))
     return out.select("date", "gpr")
 
 
 @query("C2", f"""
-SELECT r.date, {rr('ret', 6)} AS ret, spx FROM ({RET}) r JOIN {{market}} m ON r.date = m.date
-WHERE ticker = 'T1' AND ret IS NOT NULL AND spx IS NOT NULL
+SELECT ticker, r.date, {rr('ret', 6)} AS ret, spx FROM ({RET}) r JOIN {{market}} m ON r.date = m.date
+WHERE ret IS NOT NULL AND spx IS NOT NULL
 """)
 def inner_aligned(x):
-    mine = returns(x).filter("ticker = 'T1'").select("date", "ret")
+    mine = returns(x).select("ticker", "date", "ret")
     both = mine.join(x.view("market").select("date", "spx"), "date").dropna(subset=["ret", "spx"])
     return rounded(both, 6, "ret")
 
@@ -327,12 +327,12 @@ def attack_surprises(x):
 SELECT date, CASE WHEN date < DATE '2022-02-24' THEN 0.0
     WHEN date >= DATE '2022-09-29' THEN coalesce(CAST(launched_total AS DOUBLE), 0.0) END AS launched_total,
   date >= DATE '2022-02-24' AND date < DATE '2022-09-29' AS attack_unobserved
-FROM (SELECT DISTINCT date FROM {{prices}}) LEFT JOIN (SELECT day AS date, launched_total
-  FROM ({EVENTS_SQL}) WHERE launched_total > 200) USING (date)
+FROM (SELECT DISTINCT date FROM {{prices}}) LEFT JOIN (SELECT day AS date,
+  CASE WHEN launched_total > 200 THEN launched_total END AS launched_total FROM ({EVENTS_SQL})) USING (date)
 """.replace("0.0", "CAST(0 AS DOUBLE)"))
 def three_period_fill(x):
     days = x.view("prices").select("date").distinct()
-    measured = event_table(x).filter("launched_total > 200").withColumnRenamed("day", "date")
+    measured = event_table(x).selectExpr("day AS date", "IF(launched_total > 200, launched_total, NULL) AS launched_total")
     return series.three_period_fill(days, measured, ["launched_total"])
 
 
@@ -382,30 +382,34 @@ def extremes_dropped(x):
 
 
 @query("E23", f"""
-SELECT date, (SELECT min(t.date) FROM (SELECT DISTINCT date FROM {{prices}} WHERE ticker = 'T3') t
-  WHERE t.date > c.date) AS trading_day FROM ({SPINE_DAYS}) c
+SELECT ticker, date, (SELECT min(t.date) FROM {{prices}} t
+  WHERE t.ticker = k.ticker AND t.date > c.date) AS trading_day FROM ({SPINE_DAYS}) c CROSS JOIN (SELECT DISTINCT ticker FROM {{prices}}) k
 """)
 def next_trading_days(x):
-    trading = x.view("prices").filter("ticker = 'T3'").select("date").distinct()
-    return series.next_trading_day(series.span_calendar(x.view("risk")), trading)
+    """The first day after each calendar day on which each series is quoted."""
+    prices = x.view("prices").select("ticker", "date")
+    # Every series asks for every calendar day: one array of days, laid out once a series.
+    days = series.span_calendar(x.view("risk")).agg(F.collect_list("date").alias("days"))
+    asked = prices.select("ticker").distinct().join(F.broadcast(days)).select("ticker", F.explode("days").alias("date"))
+    return series.next_trading_day(asked, prices, keys=["ticker"])
 
 
 @query("D18 Q7", f"""
-WITH p AS (SELECT r.date AS d, ret, gpr, CASE WHEN vix > 25 THEN vix END AS vix FROM ({RET}) r
-  JOIN {{risk}} USING (date) JOIN {{market}} USING (date) WHERE ticker = 'T1' AND vix < 25.5),
-g AS (SELECT {FRIDAY} AS week, avg(gpr) AS gpr, coalesce(sum(ret), 0) AS ret,
-      arg_max(vix, d) FILTER (WHERE vix IS NOT NULL) AS vix FROM p GROUP BY 1),
-k AS (SELECT CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM g)
-SELECT week, {rr('gpr', 6)} AS gpr, {rr('coalesce(ret, 0)', 6)} AS ret, vix,
-  {rr('gpr - lag(gpr) OVER (ORDER BY week)', 6)} AS d_gpr FROM k LEFT JOIN g USING (week)
+WITH p AS (SELECT ticker, r.date AS d, ret, gpr, CASE WHEN vix > 25 AND vix < 25.5 THEN vix END AS vix FROM ({RET}) r
+  JOIN {{risk}} USING (date) JOIN {{market}} USING (date)),
+g AS (SELECT ticker, {FRIDAY} AS week, avg(gpr) AS gpr, coalesce(sum(ret), 0) AS ret,
+      arg_max(vix, d) FILTER (WHERE vix IS NOT NULL) AS vix FROM p GROUP BY 1, 2),
+k AS (SELECT ticker, CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM g GROUP BY 1)
+SELECT ticker, week, {rr('gpr', 6)} AS gpr, {rr('coalesce(ret, 0)', 6)} AS ret, vix,
+  {rr('gpr - lag(gpr) OVER (PARTITION BY ticker ORDER BY week)', 6)} AS d_gpr FROM k LEFT JOIN g USING (ticker, week)
 """)
 def weekly_resample(x):
-    daily_rows = returns(x).filter("ticker = 'T1'").join(
+    daily_rows = returns(x).join(
         x.view("risk").select("date", "gpr"), "date").join(
-        x.view("market").filter("vix < 25.5").selectExpr("date", "IF(vix > 25, vix, NULL) AS vix"), "date")
+        x.view("market").selectExpr("date", "IF(vix > 25 AND vix < 25.5, vix, NULL) AS vix"), "date")
     out = series.weekly(daily_rows, ["ticker"], mean=["gpr"], total=["ret"], last=["vix"])
     out = out.withColumn("d_gpr", series.change(F.col("gpr"), W()))
-    return rounded(out.select(F.col("date").alias("week"), "gpr", "ret", "vix", "d_gpr"),
+    return rounded(out.select("ticker", F.col("date").alias("week"), "gpr", "ret", "vix", "d_gpr"),
                    6, "gpr", "ret", "d_gpr")
 
 
