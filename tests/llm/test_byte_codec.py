@@ -74,6 +74,15 @@ def test_spans_hold_their_characters_and_split_characters_come_back(spark):
         byte_codec.decoded(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), VOCABULARY).collect()
 
 
+def test_spans_are_those_of_the_library():
+    codec = byte_codec.ByteCodec(file_bytes(VOCABULARY))
+    for text in TEXTS:
+        if text and len(text) < 50_000:
+            (ids, spans), = codec.encode([text])
+            plain = codec.coder.encode(text, add_special_tokens=False)
+            assert ids.tolist() == plain.ids and [tuple(s) for s in spans.tolist()] == plain.offsets
+
+
 def test_stretches_join_to_the_text():
     for text in TEXTS:
         if text:

@@ -5,8 +5,9 @@ characters: printable Latin-1 bytes stand for themselves, the others for charact
 Decoding reverses this table: an id gives back its bytes, and the bytes of neighbouring ids are put
 together before they are read as UTF-8, so a character split over several ids comes back whole.
 
-Offsets count characters of the text. Ids that share a split character share its place: the span of
-each holds the whole character.
+Offsets count characters of the text: the bytes that the ids before stand for are mapped to the
+characters they are of. Ids that share a split character share its place: the span of each holds the
+whole character, as the library's own offsets do, which cost a third more time.
 
 Texts are encoded where they are read; nothing is shuffled. Texts of more than ``STRETCH`` characters
 are given to the library in stretches. They are cut only before a space that follows a visible
@@ -70,26 +71,34 @@ class ByteCodec:
         self.coder.encode_special_tokens = True
         special = {t["id"] for t in json.loads(vocabulary).get("added_tokens", [])}
         table = byte_table()
-        self.spelt: dict[int, bytes] = {}
+        spelt: dict[int, bytes] = {}
         for token, i in self.coder.get_vocab(with_added_tokens=True).items():
-            self.spelt[i] = token.encode() if i in special else bytes(map(table.__getitem__, token))
+            spelt[i] = token.encode() if i in special else bytes(map(table.__getitem__, token))
+        self.spelt: list[bytes | None] = [spelt.get(i) for i in range(max(spelt) + 1)]
+        self.sizes = np.array([len(b or b"") for b in self.spelt], np.int64)  # bytes that an id stands for
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, spans) of each text; spans has a row of begin and end for each id."""
         parts = [stretches(t) if t else [] for t in texts]
-        got = iter(self.coder.encode_batch([p for ps in parts for p in ps], add_special_tokens=False))
+        got = iter(self.coder.encode_batch_fast([p for ps in parts for p in ps], add_special_tokens=False))
         out = []
-        for ps in parts:
-            ids, spans, at = [np.empty(0, np.int32)], [np.empty((0, 2), np.int32)], 0
-            for p in ps:
-                e = next(got)
-                ids.append(np.array(e.ids, np.int32))
-                spans.append(np.array(e.offsets, np.int32).reshape(-1, 2) + np.int32(at))
-                at += len(p)
-            out.append((np.concatenate(ids), np.concatenate(spans)))
+        for text, ps in zip(texts, parts):
+            ids = np.concatenate([np.empty(0, np.int32), *(np.array(next(got).ids, np.int32) for _ in ps)])
+            out.append((ids, self.spans(text or "", ids)))
         return out
 
-    def decode(self, ids) -> bytes:
+    def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """Begin and end of each id in characters: the bytes before it, mapped to the characters they are of."""
+        if not len(ids):
+            return np.empty((0, 2), np.int32)
+        source = np.frombuffer(text.encode(), np.uint8)
+        char = np.cumsum((source & 0xC0) != 0x80, dtype=np.int32) - 1  # of each byte
+        ends = np.cumsum(self.sizes[ids])
+        return np.stack([char[ends - self.sizes[ids]], char[ends - 1] + 1], 1)
+
+    def decode(self, ids: list[int]) -> bytes:
+        if ids and min(ids) < 0:
+            raise ValueError(f"no such id: {min(ids)}")
         return b"".join(map(self.spelt.__getitem__, ids))
 
 
