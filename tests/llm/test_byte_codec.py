@@ -83,11 +83,19 @@ def test_spans_are_those_of_the_library():
             assert ids.tolist() == plain.ids and [tuple(s) for s in spans.tolist()] == plain.offsets
 
 
-def test_stretches_join_to_the_text():
-    for text in TEXTS:
-        if text:
-            for size in (1, 7, 100, 1 << 16):
-                assert "".join(byte_codec.stretches(text[:2000], size)) == text[:2000]
+def test_a_full_cache_changes_nothing(monkeypatch, plain):
+    monkeypatch.setattr(byte_codec, "CACHED", 5)
+    codec = byte_codec.ByteCodec(file_bytes(VOCABULARY))
+    texts = ["one two three four", "two three", "six seven eight nine ten one", "one one", "", None, "four"] * 3
+    for _ in range(2):
+        assert [ids.tolist() for ids, _ in codec.encode(texts)] == [plain.encode_ordinary(t or "") for t in texts]
+
+
+def test_cuts_at_every_kind_of_character(plain):
+    codec = byte_codec.ByteCodec(file_bytes(VOCABULARY))
+    kinds = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 0x1680, 0x180E, 0x2000, 0x200A, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    texts = [f"a{x}{y}b!{x}?{y} {x}1{y}{y}'s{x}" for x in kinds for y in kinds]
+    assert [ids.tolist() for ids, _ in codec.encode(texts)] == [plain.encode_ordinary(t) for t in texts]
 
 
 def test_odd_tables(spark, odd_docs, plain):

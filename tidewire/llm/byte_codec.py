@@ -9,9 +9,10 @@ Offsets count characters of the text: the bytes that the ids before stand for ar
 characters they are of. Ids that share a split character share its place: the span of each holds the
 whole character, as the library's own offsets do, which cost a third more time.
 
-Texts are encoded where they are read; nothing is shuffled. Texts of more than ``STRETCH`` characters
-are given to the library in stretches. They are cut only before a space that follows a visible
-character, where a new match of the splitting pattern always begins, so the ids are the same.
+Texts are encoded where they are read; nothing is shuffled. A text is cut where white space follows a
+visible character: no match of the splitting pattern crosses such a place, so the ids stay the same.
+The library encodes the parts of a batch that are new; a bounded cache remembers the ids of the
+others, as most words come again.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; strings of special tokens are
 ordinary text; a text of any length is encoded whole, runs of white space too; repeated rows give
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewire.llm.common import file_bytes, small_batches
 
-STRETCH = 1 << 16
+# White space as the splitting pattern has it, before a visible run or at the end.
+_BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_PARTS, _GAPS = re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+"), re.compile(f"[{_BLANKS}]")
+CACHED, LONGEST = 200_000, 48  # parts in the cache, and characters of one
 
 
 def byte_table() -> dict[str, int]:
@@ -41,25 +46,6 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def stretches(text: str, size: int = STRETCH) -> list[str]:
-    """The text in parts of about ``size`` characters, cut before spaces after visible characters."""
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = text.rfind(" ", at + 1, at + size)
-        while cut > at and text[cut - 1].isspace():
-            cut = text.rfind(" ", at + 1, cut)
-        if cut <= at:  # none so near: the next one
-            cut = text.find(" ", at + size)
-            while cut > 0 and text[cut - 1].isspace():
-                cut = text.find(" ", cut + 1)
-            if cut < 0:
-                break
-        out.append(text[at:cut])
-        at = cut
-    out.append(text[at:])
-    return out
-
-
 class ByteCodec:
     """Encodes and decodes by one vocabulary file of the tokenizers library."""
 
@@ -75,16 +61,41 @@ class ByteCodec:
         for token, i in self.coder.get_vocab(with_added_tokens=True).items():
             spelt[i] = token.encode() if i in special else bytes(map(table.__getitem__, token))
         self.spelt: list[bytes | None] = [spelt.get(i) for i in range(max(spelt) + 1)]
+        self.cache: dict[str, bytes] = {}
         self.sizes = np.array([len(b or b"") for b in self.spelt], np.int64)  # bytes that an id stands for
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, spans) of each text; spans has a row of begin and end for each id."""
-        parts = [stretches(t) if t else [] for t in texts]
-        got = iter(self.coder.encode_batch_fast([p for ps in parts for p in ps], add_special_tokens=False))
+        parts = [_PARTS.findall(t) if t else [] for t in texts]
+        found = [list(map(self.cache.get, ps)) for ps in parts]
+        new = {p for ps, got in zip(parts, found) if None in got for p, b in zip(ps, got) if b is None}
+        fresh = self._encoded_parts(list(new))
         out = []
-        for text, ps in zip(texts, parts):
-            ids = np.concatenate([np.empty(0, np.int32), *(np.array(next(got).ids, np.int32) for _ in ps)])
+        for text, ps, got in zip(texts, parts, found):
+            if None in got:
+                got = [fresh[p] if b is None else b for p, b in zip(ps, got)]
+            ids = np.frombuffer(b"".join(got), "<u4").astype(np.int32)
             out.append((ids, self.spans(text or "", ids)))
+        if len(self.cache) + len(fresh) > CACHED:
+            self.cache.clear()
+        self.cache.update((p, b) for p, b in fresh.items() if len(p) <= LONGEST)
+        return out
+
+    def _encoded_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """The packed ids of parts. Those that begin with white space and end in a visible character
+        are encoded as one text, as it is cut between them, and taken apart by their bytes."""
+        inner = [p for p in parts if _GAPS.match(p) and not _GAPS.match(p[-1])]
+        chosen = set(inner)
+        alone = [p for p in parts if p not in chosen]
+        out = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(alone, self.coder.encode_batch_fast(alone, add_special_tokens=False))}
+        for at in range(0, len(inner), 50_000):
+            some = inner[at:at + 50_000]
+            ids = np.array(self.coder.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
+            packed, begin = ids.tobytes(), 0
+            for p, end in zip(some, (4 * ends).tolist()):
+                out[p] = packed[begin:end]
+                begin = end
         return out
 
     def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
