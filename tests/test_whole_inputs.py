@@ -136,10 +136,39 @@ def test_feeds_of_many_triggers_lose_and_repeat_nothing(spark, tmp_path):
         os.utime(part, (1.6e9 + i, 1.6e9 + i))  # later days finish first
     feeds.ordered_files(spark, f"{tmp_path}/in")
     feed = feeds.read_feed(spark, f"{tmp_path}/in", rows.schema, files_per_trigger=1)
-    feeds.distinct_urls_table(feed, f"{tmp_path}/urls", f"{tmp_path}/s1").trigger(availableNow=True).start().awaitTermination()
+    with feeds.store_on_disk(spark):
+        feeds.distinct_urls_table(feed, f"{tmp_path}/urls", f"{tmp_path}/s1").trigger(availableNow=True).start().awaitTermination()
     urls = [r.url for r in spark.read.parquet(f"{tmp_path}/urls").collect()]
     assert len(urls) == 9 and set(urls) == {None, "a", "b", *(f"u{d}" for d in range(1, 25, 4))}
     counts = feed.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day")).count().select("window.start", "count")
     counts.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/n").option(
         "checkpointLocation", f"{tmp_path}/s2").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/n").agg(F.sum("count")).first()[0] == 20  # all but the open last day
+
+
+def test_a_feed_of_urls_reads_its_own_batch_only(spark, tmp_path):
+    schema, seen = "ts timestamp, url string", set()
+
+    def deliver(urls):
+        rows = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("ts", F.lit("2020-01-01").cast("timestamp"))
+        rows.select("ts", "url").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with feeds.store_on_disk(spark):
+            query = feeds.distinct_urls_table(feeds.read_feed(spark, f"{tmp_path}/in", schema), f"{tmp_path}/urls", f"{tmp_path}/state").trigger(
+                availableNow=True).start()
+            query.awaitTermination()
+        return [p for p in query.recentProgress if p["numInputRows"]]
+
+    for turn in range(4):
+        urls = [f"u{i}" for i in range(turn * 50, turn * 50 + 100)] + [None, "u0"]
+        progress = deliver(urls)
+        seen |= set(urls)
+        assert sum(p["numInputRows"] for p in progress) == len(urls)  # its own rows, no history
+        assert progress[-1]["stateOperators"][0]["numRowsTotal"] == len(seen)
+        got = [r.url for r in spark.read.parquet(f"{tmp_path}/urls").collect()]
+        assert len(got) == len(seen) and set(got) == seen
+        if turn == 1:  # what was written before can't be read any more, and is not
+            for part in (tmp_path / "urls").glob("part-*.parquet"):
+                os.rename(part, part.with_suffix(".gone"))
+            deliver(["u0", "u149"])
+            for part in (tmp_path / "urls").glob("*.gone"):
+                os.rename(part, part.with_suffix(".parquet"))

@@ -284,13 +284,24 @@ def model_panel_rows(x):
 
 # --- streams: each is driven to the end of the table and read back --------------------------
 
-def _feed(x):
-    """Article records as a stream: the batch mapping written once, then read as files."""
-    folder = scratch(x.spark)
+_FEEDS: dict[tuple[str, str], str] = {}
+
+
+def _feed(x, more=None):
+    """Article records as a stream: the batch mapping written once for all streams of a session, then
+    read as files. ``more`` makes rows that are delivered last, into a feed of its own."""
     batch = x.view("articles").withColumn("ts", F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400))
-    batch.repartitionByRange("day").write.mode("overwrite").parquet(f"{folder}/in")
-    feeds.ordered_files(x.spark, f"{folder}/in")
-    return batch, feeds.read_feed(x.spark, f"{folder}/in", batch.schema), folder
+    key = (x.spark.sparkContext.applicationId, x.folder)
+    place = _FEEDS.get(key) if more is None else None
+    if place is None:
+        place = f"{scratch(x.spark)}/in"
+        batch.repartitionByRange("day").write.mode("overwrite").parquet(place)
+        feeds.ordered_files(x.spark, place)
+        if more is None:
+            _FEEDS[key] = place
+        else:
+            more(batch).write.mode("append").parquet(place)
+    return feeds.read_feed(x.spark, place, batch.schema), scratch(x.spark)
 
 
 def _drain(stream, folder: str):
@@ -303,7 +314,7 @@ def _drain(stream, folder: str):
 @query("J1 J2", DAILY_SQL)
 def streamed_daily_labels(x):
     """The daily label table from micro-batches upserted by (day, ecosystem)."""
-    _, feed, folder = _feed(x)
+    feed, folder = _feed(x)
     counts = feeds.daily_counts(feed)
     counts = counts.withColumn("month", F.trunc("day", "month"))
     feeds.upsert_stream(
@@ -320,10 +331,12 @@ SELECT publisher, min(day) AS first_day, max(day) + 7 AS closed_day, count(*) AS
       SELECT *, row_number() OVER () AS rn FROM {articles}))) GROUP BY publisher, block
 """)
 def streamed_activity_blocks(x):
-    batch, feed, folder = _feed(x)
     # One record long after the last closes every block; its own stays open.
-    last = batch.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 60 DAYS"))
-    last.withColumn("publisher", F.lit("end of feed")).write.mode("append").parquet(f"{folder}/in")
+    def end(batch):
+        last = batch.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 60 DAYS"))
+        return last.withColumn("publisher", F.lit("end of feed"))
+
+    feed, folder = _feed(x, end)
     out = _drain(feeds.activity_blocks(feed, "publisher", "168 hours"), folder)
     return out.select("publisher", feeds._utc_day(F.col("start")).alias("first_day"),
                       feeds._utc_day(F.col("end")).alias("closed_day"), "n")
@@ -331,6 +344,7 @@ def streamed_activity_blocks(x):
 
 @query("J4", "SELECT DISTINCT url FROM {articles}")
 def streamed_distinct_urls(x):
-    _, feed, folder = _feed(x)
-    feeds.distinct_urls_table(feed, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    feed, folder = _feed(x)
+    with feeds.store_on_disk(x.spark):
+        feeds.distinct_urls_table(feed, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return x.spark.read.parquet(f"{folder}/out").select("url")

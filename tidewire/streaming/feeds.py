@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -12,6 +13,13 @@ from tidewire.operators import labelling
 from tidewire.sources.tables import upsert_partitions
 
 
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
+
+
 def read_feed(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -80,21 +88,28 @@ def activity_blocks(feed: DataFrame, key: str, gap: str = "168 hours", delay: st
         F.col("session_window.end").alias("end"), "n")
 
 
+@contextmanager
+def store_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in the on-disk store, so keys need not fit in memory."""
+    kept = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def distinct_urls_table(feed: DataFrame, path: str, checkpoint: str, url: str = "url") -> DataStreamWriter:
-    """Each URL once, however far apart its records are: every micro-batch appends the URLs that no
-    earlier batch has written. A batch that is delivered again replaces what it wrote."""
-    def append(batch: DataFrame, number: int) -> None:
-        fresh = batch.select(url).distinct()
-        try:
-            stored = batch.sparkSession.read.parquet(path).filter(F.col("batch") < number)
-        except Exception as exc:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-        else:
-            stored = stored.select(F.col(url).alias("_url"))
-            fresh = fresh.join(stored, fresh[url].eqNullSafe(stored["_url"]), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
-    return feed.select(url).writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
+    """Each URL once, however far apart its records are, as files under ``path``.
+
+    The URLs seen are keyed state: a micro-batch looks up its own URLs and nothing else, so what it
+    reads does not grow with history. Files are listed in the sink's log, so a batch that is
+    delivered again adds nothing. Start it inside :func:`store_on_disk`.
+    """
+    fresh = feed.select(url).dropDuplicates([url])
+    return fresh.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
 
 
 def distinct_urls(feed: DataFrame, url: str = "url", delay: str = "2 days") -> DataFrame:
