@@ -36,18 +36,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewire.llm.common import small_batches, written
 from tidewire.session import scratch
+from tidewire.streaming.feeds import store_on_disk
 
 FILTERS = "ABCDE"
 E, GOOD, TOXIC = 16, 32, 64  # A to D are 1, 2, 4, 8
 SYMBOLS = b"#$%&*|"
 _UPPER = bytes(range(65, 91))
 _INNER = bytes(range(0x80, 0xC0))  # bytes of a character after its first
-STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-}
 
 
 def failures(text: bytes) -> int:
@@ -183,20 +178,14 @@ class InteractionAudit:
             F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("docs")).first()
         groups = self._groups(size["docs"])
         labels = written(self.labels)
-        kept = {k: spark.conf.get(k, None) for k in STORE}
-        for k, v in STORE.items():
-            spark.conf.set(k, v)
-        try:
-            stream = spark.readStream.schema(docs.schema).option(
-                "maxFilesPerTrigger", max(1, -(-size["files"] // self.batches))).parquet(one_pattern(self.path))
-            known = masks(stream).join(labels.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select(
-                "doc_id", "part", "h", F.col("flags").bitwiseOR(F.coalesce("marks", F.lit(0))).alias("flags"))
+        stream = spark.readStream.schema(docs.schema).option(
+            "maxFilesPerTrigger", max(1, -(-size["files"] // self.batches))).parquet(one_pattern(self.path))
+        known = masks(stream).join(labels.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select(
+            "doc_id", "part", "h", F.col("flags").bitwiseOR(F.coalesce("marks", F.lit(0))).alias("flags"))
+        with store_on_disk(spark):
             query = changed(combined(known, groups)).writeStream.outputMode("append").option(
                 "checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).foreachBatch(self._written).start()
             query.awaitTermination()
-        finally:
-            for k, v in kept.items():
-                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         return self
 
     def _written(self, changes: DataFrame, batch: int) -> None:
