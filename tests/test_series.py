@@ -118,12 +118,19 @@ def test_upsert_partitions_twice(spark, tmp_path):
 
 def test_guard(spark, tmp_path):
     path = str(tmp_path / "p")
-    spark.range(10000).selectExpr("id", "id * 2 AS b").write.parquet(path)
-    df = spark.read.parquet(path).select("id")
-    assert [r["column"] for r in guard.scan_bytes(df).collect()] == ["id"]
-    assert guard.guarded_scan(df, 10 ** 9).count() == 10000
+    spark.range(10000).selectExpr("id", "CAST(id * 2 AS INT) AS b", "repeat('é', 3) AS t", "id % 4 AS part").write.partitionBy("part").parquet(path)
+    price = {r.column: (r.bytes, r.n_rows) for r in guard.scan_price(spark, path, ["id", "b", "t"]).collect()}
+    assert price == {"id": (80000, 10000), "b": (40000, 10000), "t": (60000, 10000)}
+    some = {r.column: r.bytes for r in guard.scan_price(spark, path, ["id"], F.col("part") < 2).collect()}
+    assert some == {"id": 40000}
+    assert guard.guarded_scan(spark, path, ["id"], 40000, F.col("part") < 2).count() == 5000
     with pytest.raises(guard.ScanTooLarge):
-        guard.guarded_scan(df, 10)
+        guard.guarded_scan(spark, path, ["id"], 39999, F.col("part") < 2)
+    # Files that come later are priced, files that go are not; what is known is not read again.
+    for file in (tmp_path / "p" / "part=0").glob("*.parquet"):
+        file.unlink()
+    spark.range(8).selectExpr("id", "CAST(1 AS INT) AS b", "'x' AS t").write.mode("append").parquet(f"{path}/part=9")
+    assert {r.column: r.bytes for r in guard.scan_price(spark, path, ["id"]).collect()} == {"id": 60000 + 64}
 
 
 def test_readers_fail_loudly(spark, tmp_path):

@@ -8,31 +8,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
-from tidewire.operators import moments, series
+from tidewire.operators import intervals, moments, series
 from tidewire.operators.testing import benjamini_hochberg
 
 Windows = Mapping[str, tuple[str, str] | None]
 
 
-def window_days(spark: SparkSession, windows: Windows, first: str, last: str) -> DataFrame:
-    """(window, date) rows, so a grid joins its days by equality. ``None`` means all days."""
-    rows = [(name, *(span or (first, last))) for name, span in windows.items()]
-    df = spark.createDataFrame(rows, "window string, a string, b string")
-    return df.select("window", F.explode(
-        F.sequence(F.to_date("a"), F.to_date("b"))).alias("date"))
-
-
-def in_windows(panel: DataFrame, windows: Windows, date: str = "date") -> DataFrame:
-    """One copy of a row for every window its day falls in (both ends included)."""
-    d = F.col(date)
-    names = []
-    for name, span in windows.items():
-        if span is None:
-            names.append(F.lit(name))
-        else:
-            a, b = (F.lit(s).cast("date") for s in span)
-            names.append(F.when(d.between(a, b), F.lit(name)))
-    return panel.select("*", F.explode(F.array_compact(F.array(*names))).alias("window"))
+def window_table(spark: SparkSession, windows: Windows) -> DataFrame:
+    """(window, start, end); ``None`` means all days."""
+    rows = [(name, *(span or ("0001-01-01", "9999-12-31"))) for name, span in windows.items()]
+    return spark.createDataFrame(rows, "window string, a string, b string").select(
+        "window", F.to_date("a").alias("start"), F.to_date("b").alias("end"))
+
+
+def in_windows(panel: DataFrame, windows: Windows | DataFrame, date: str = "date") -> DataFrame:
+    """One copy of a row for every window its day falls in (both ends included). Windows are a
+    mapping or a table (window, start, end) of any length."""
+    table = windows if isinstance(windows, DataFrame) else window_table(panel.sparkSession, windows)
+    return intervals.within(panel, table, ["window"], date).select(*panel.columns, "window")
 
 
 def per_target(rows: DataFrame, targets: Mapping[str, str | None]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
@@ -174,32 +174,65 @@ def drop_internal_hosts(df: DataFrame, host: str = "publisher") -> DataFrame:
     return df.filter(~F.coalesce(listed, F.lit(False)))
 
 
+_APART = r"[^\p{L}\p{N}]+"  # what stands between tokens
+
+
+def keyword_table(spark: SparkSession, queries: Sequence[dict]) -> DataFrame:
+    """(lang, query, kind, word, size, hash, pattern, needs_weapon): the keywords of all queries.
+
+    A keyword is found by the hash of its tokens. One that is not a single token is tested again
+    by ``pattern``, as what stands between its tokens counts too.
+    """
+    rows = [(code, q["name"], kind, w.lower(), rf"(^|[^\p{{L}}\p{{N}}]){_quote(w.lower())}($|[^\p{{L}}\p{{N}}])",
+             code in q.get("weapon", {}))
+            for q in queries for kind in ("any", "weapon") for code, words in q.get(kind, {}).items()
+            for w in words if code in q["any"]]
+    table = spark.createDataFrame(rows, "lang string, query string, kind string, word string, pattern string, needs_weapon boolean")
+    tokens = F.filter(F.split("word", _APART), lambda t: t != "")
+    keyed = table.withColumn("_t", tokens)
+    return keyed.withColumns({"size": F.size("_t"), "hash": F.xxhash64("_t"), "exact": F.rlike("word", F.lit(r"^[\p{L}\p{N}]+$"))}).drop("_t")
+
+
 def keyword_queries(
-    texts: DataFrame, queries: Sequence[dict], text: str = "text", lang: str = "lang",
+    texts: DataFrame, queries: Sequence[dict], key: str, text: str = "text", lang: str = "lang", most_broadcast: int = 500_000,
 ) -> DataFrame:
-    """One row per (text, matching query): any subject word and, if the query lists
+    """(key, query): every query that a text matches: any subject word and, if the query lists
     weapon words for that language, any of those too.
 
-    ``queries`` is config: ``name``, ``any`` and ``weapon`` as language -> words.
-    Words match as whole words, ignoring case, over the whole text.
+    ``queries`` is config: ``name``, ``any`` and ``weapon`` as language -> words. Words match as
+    whole words, ignoring case, over the whole text; ``key`` names each text once.
+
+    One pass lays out the distinct token windows of a text, of the sizes that keywords have, and
+    probes the table of keywords with their hashes. So the cost does not grow with the number of
+    keywords. Hits alone leave the pass. The table is broadcast while it has at most
+    ``most_broadcast`` keywords, beyond that both sides are shuffled.
     """
-    lowered = F.lower(F.col(text))
-
-    def hit(words: Sequence[str]) -> Column:
-        quoted = "|".join(_quote(w.lower()) for w in words)
-        return lowered.rlike(rf"(^|[^\p{{L}}\p{{N}}])({quoted})($|[^\p{{L}}\p{{N}}])")
-
-    found = []
-    for q in queries:
-        tests = None
-        for code, words in q["any"].items():
-            test = (F.col(lang) == code) & hit(words)
-            weapon = q.get("weapon", {}).get(code)
-            if weapon:
-                test = test & hit(weapon)
-            tests = test if tests is None else tests | test
-        found.append(F.when(tests, F.lit(q["name"])))
-    return texts.withColumn("query", F.explode(F.array_compact(F.array(*found))))
+    spark = texts.sparkSession
+    table = keyword_table(spark, queries)
+    found_sizes = [r["size"] for r in table.select("size").distinct().collect()]
+    if 0 in found_sizes:
+        raise ValueError("a keyword without a letter or digit can't be found")
+    n = sum(len(words) for q in queries for kind in ("any", "weapon") for words in q.get(kind, {}).values())
+    probe = F.broadcast(table) if n <= most_broadcast else table
+    tokens = F.filter(F.split(F.lower(text), _APART), lambda t: t != "")
+
+    def windows_of(t: Column, k: int) -> Column:  # tokens are taken one by one, as a slice copies its whole array
+        places = F.sequence(F.lit(0), F.size(t) - k)
+        made = F.transform(places, lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(k)]))
+        return F.when(F.size(t) >= k, made).otherwise(F.array().cast("array<bigint>"))
+
+    # A value named inside a lambda is computed again for each element, so it is bound first.
+    windows = F.transform(F.array(tokens), lambda t: F.array_distinct(
+        F.flatten(F.array(*[windows_of(t, k) for k in sorted(found_sizes)]))))[0]
+    spread = texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("lang"), F.explode(windows).alias("hash"))
+    hits = spread.join(probe, ["lang", "hash"]).select("_key", "query", "kind", "needs_weapon", "exact", "pattern")
+    loose = hits.filter("NOT exact").join(texts.select(F.col(key).alias("_key"), F.lower(text).alias("_text")), "_key").filter(
+        F.rlike("_text", F.col("pattern")))
+    columns = ["_key", "query", "kind", "needs_weapon"]
+    sure = hits.filter("exact").select(*columns).unionByName(loose.select(*columns))
+    both = sure.groupBy("_key", "query").agg(
+        F.bool_or(F.col("kind") == "any").alias("any"), F.bool_or(F.col("kind") == "weapon").alias("weapon"), F.bool_or("needs_weapon").alias("needs"))
+    return both.filter("any AND (weapon OR NOT needs)").select(F.col("_key").alias(key), "query")
 
 
 def _quote(word: str) -> str:

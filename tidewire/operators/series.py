@@ -13,6 +13,7 @@ from pyspark.sql.window import WindowSpec
 
 from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
+from tidewire.operators import intervals
 
 
 def by(keys: Sequence[str] | str, order: str = "date") -> WindowSpec:
@@ -315,15 +316,13 @@ def episodes(
 
 
 def label_episodes(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Names of known dates inside each episode, joined by ``; `` in date order.
-
-    ``known`` is a short config table (name, known_date).
-    """
-    inside = F.col("known_date").between(F.col("start"), F.col("end"))
-    joined = found.join(F.broadcast(known), inside, "left")
-    pair = F.when(F.col("name").isNotNull(), F.struct("known_date", "name"))
-    names = F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["name"])
-    return joined.groupBy(*found.columns).agg(F.array_join(names, "; ").alias("label"))
+    """Names of known dates inside each episode, joined by ``; `` in date order; ``known`` is
+    (name, known_date)."""
+    spans = found.select("start", "end").distinct()
+    hits = intervals.within(known, spans, ["start", "end"], "known_date")
+    names = hits.groupBy("start", "end").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("known_date", "name"))), lambda p: p["name"]), "; ").alias("label"))
+    return found.join(names, ["start", "end"], "left").select(*found.columns, F.coalesce("label", F.lit("")).alias("label"))
 
 
 def episode_days(found: DataFrame) -> DataFrame:

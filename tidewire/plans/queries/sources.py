@@ -12,13 +12,17 @@ from tidewire.plans.sqltext import names, r, rr
 from tidewire.sources import articles as feed, guard, markets, tables
 
 
-@query("A2")
+_PRICED = {"l_shipdate": "8 * count(l_shipdate)", "l_suppkey": "8 * count(l_suppkey)", "l_linenumber": "4 * count(l_linenumber)",
+           "l_returnflag": "sum(strlen(l_returnflag))", "l_quantity": "8 * count(l_quantity)"}
+
+
+@query("A2", " UNION ALL ".join(
+    f"SELECT '{k}' AS \"column\", CAST({v} AS BIGINT) AS bytes, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_files FROM {{lineitem}}"
+    for k, v in _PRICED.items()))
 def column_scan_costs(x):
-    """Bytes by column of the projection the daily label table needs."""
-    used = x.table("lineitem").select(
-        "l_shipdate", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
-        "l_quantity", "l_tax", "l_partkey")
-    return guard.scan_bytes(guard.guarded_scan(used, 10 ** 15, "daily label table"))
+    """Bytes by column of a projection of the largest table, from statistics of its files."""
+    guard.guarded_scan(x.spark, x.path("lineitem"), list(_PRICED), 10 ** 15)
+    return guard.scan_price(x.spark, x.path("lineitem"), list(_PRICED))
 
 
 UPSERT_SQL = """
@@ -400,7 +404,7 @@ def _keyword_sql():
 
 @query("B15", _keyword_sql())
 def keyword_matches(x):
-    return labelling.keyword_queries(x.table("documents"), KEYWORDS).select("doc_id", "query")
+    return labelling.keyword_queries(x.table("documents"), KEYWORDS, "doc_id")
 
 
 WEAPON_RULES = [

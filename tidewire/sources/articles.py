@@ -63,15 +63,10 @@ def preset_spans(spark: SparkSession, presets=None) -> DataFrame:
 
 
 def route_to_presets(df: DataFrame, presets: DataFrame, day: str = "day") -> DataFrame:
-    """Tag rows with every preset whose span holds their day.
+    """Tag rows with every preset whose span holds their day."""
+    from tidewire.operators import intervals
 
-    The few spans are first laid out as (preset, day) rows, so the match is an equality
-    join on a small calendar rather than a range join on the fact table.
-    """
-    days = presets.select(
-        "preset", "target", F.explode(F.sequence("start", "end")).alias("preset_day")
-    )
-    return df.join(F.broadcast(days), df[day] == F.col("preset_day")).drop("preset_day")
+    return intervals.within(df, presets.select("preset", "target", "start", "end"), ["preset", "target"], day)
 
 
 def normalise(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -43,6 +43,15 @@ def file_list(spark: SparkSession, path: str) -> DataFrame:
     return files.select(m["file_path"].alias("path"), m["file_size"].alias("size"), m["file_modification_time"].alias("changed"))
 
 
+def of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of the given files. Few files are named in the filter, so that others are not opened."""
+    named = [r[0] for r in files.select("path").limit(LITERAL_PATHS + 1).collect()]
+    place = F.col("_metadata.file_path")
+    if len(named) <= LITERAL_PATHS:
+        return rows.filter(place.isin(named))
+    return rows.join(files.select(F.col("path").alias("_place")), place == F.col("_place"), "left_semi")
+
+
 def rules_of(*modules: ModuleType) -> str:
     """A fingerprint of code whose change must give new tables."""
     return hashlib.sha256("".join(map(inspect.getsource, modules)).encode()).hexdigest()
@@ -75,14 +84,9 @@ class DerivedTable:
     def _months_of(self, files: DataFrame | None) -> DataFrame:
         """(path, month) of the given files, or of all; only the day column is read."""
         rows = self.spark.read.parquet(self.path)
-        place = F.col("_metadata.file_path")
         if files is not None:
-            named = [r[0] for r in files.select("path").limit(LITERAL_PATHS + 1).collect()]
-            if len(named) <= LITERAL_PATHS:
-                rows = rows.filter(place.isin(named))
-            else:
-                rows = rows.withColumn("_place", place).join(files.select(F.col("path").alias("_place")), "_place", "left_semi")
-        return rows.select(place.alias("path"), self.month.alias("month")).distinct()
+            rows = of_files(rows, files)
+        return rows.select(F.col("_metadata.file_path").alias("path"), self.month.alias("month")).distinct()
 
     # -- reading -------------------------------------------------------------------------------
     def read(self, spans: Sequence[tuple[str, str]] | None = None) -> DataFrame:
