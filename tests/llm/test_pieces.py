@@ -59,3 +59,24 @@ def test_both_ways_to_decode_agree(small):
     once = {r.doc_id: r.text for r in pieces.encoded(docs, MODEL, back=True).collect()}
     apart = {r.doc_id: r.text for r in pieces.decoded(pieces.encoded(docs, MODEL), MODEL).collect()}
     assert once == apart == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_long_unspaced_text_takes_seconds_and_keeps_its_ids():
+    import random
+    import time
+
+    import sentencepiece
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    coder = pieces.PieceModel(pieces.file_bytes(model))
+    pick = random.Random(4)
+    mixed = "".join(pick.choice(["the", "ing", "日本", "é", "x", "00", "\U0001f469", "а"]) for _ in range(120_000))
+    for text in ("the" * 330_000, "日本語" * 100_000, "a" * 1_000_000, mixed, "=" * 300_000):
+        start = time.time()
+        ids = coder.encode(text)[0].tolist()
+        assert time.time() - start < 60
+        assert ids == library.encode(text)
+    for n in range(90, 130):  # either way of merging gives the same pieces
+        short = mixed[:n]
+        assert coder.encode(short)[0].tolist() == library.encode(short)

@@ -13,7 +13,6 @@ empty or clean results; of both tables only the named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,10 +25,11 @@ def item_words(text: Column) -> Column:
     return split_words(lower_ascii(text), GAP)
 
 
-def _windows(words: Column, width: int, of: Callable[[Column], Column]) -> Column:
-    """``of`` each window of ``width`` words; none for shorter texts."""
+def _windows(words: Column, width: int) -> Column:
+    """The hash of each window of ``width`` words; none for shorter texts. Words are taken one by
+    one, as a slice copies its whole array."""
     return bound(words, lambda w: F.when(F.size(w) >= width, F.transform(
-        F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: of(F.slice(w, i, width)))))
+        F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]))))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -55,17 +55,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_windo
     for length in sorted(sizes) or [width]:
         known = windows.filter(F.col("length") == length).select("h", "window", "items")
         # The outer form: an inner one makes the optimizer compute the windows a second time in a filter.
+        hashed = base.withColumn("hashes", _windows(F.col("w"), length))
+        # Two comparisons, so that the words are looked at only where the hash is found.
+        here = F.slice("w", F.col("at") + 1, length)
+        same = (here <= F.col("window")) & (here >= F.col("window"))
         if small:
-            scan = base.withColumn("hashes", _windows(F.col("w"), length, F.xxhash64)).select(
-                "doc_id", "text_key", "w", F.posexplode_outer("hashes").alias("at", "h"))
-            # Two comparisons, so that the words are looked at only where the hash is found.
-            here = F.slice("w", F.col("at") + 1, length)
-            same = (here <= F.col("window")) & (here >= F.col("window"))
+            scan = hashed.select("doc_id", "text_key", "w", F.posexplode_outer("hashes").alias("at", "h"))
             found = scan.join(F.broadcast(known), (scan["h"] == known["h"]) & same)
         else:
-            scan = base.withColumn("lines", _windows(F.col("w"), length, lambda w: F.array_join(w, " "))).select(
-                "doc_id", "text_key", F.posexplode_outer("lines").alias("at", "line"))
-            found = scan.join(known.withColumn("line", F.array_join("window", " ")), "line")
+            # Hashes alone are shuffled; the words of what they find are fetched again by document.
+            scan = hashed.select("doc_id", "text_key", F.posexplode_outer("hashes").alias("at", "h"))
+            words = base.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "w").dropDuplicates(["_doc", "_text"])
+            met = scan.join(known, "h")
+            found = met.join(words, met["doc_id"].eqNullSafe(words["_doc"]) & met["text_key"].eqNullSafe(words["_text"])).filter(same)
         parts.append(found.select("doc_id", "text_key", F.struct(
             F.col("at"), F.lit(length).alias("length")).alias("span"), "items"))
     found = parts[0]

@@ -30,7 +30,8 @@ WINDOW = 5
 
 
 def repeated_words(words: Column) -> Column:
-    """Words inside windows of 5 that occur twice or more in the text."""
+    """Words inside windows of 5 that occur twice or more in the text. Words are taken one by one,
+    as a slice copies its whole array."""
     def places(h: Column) -> Column:
         marked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         twins = bound(marked, lambda s: F.filter(s, lambda x, i: (
@@ -40,7 +41,7 @@ def repeated_words(words: Column) -> Column:
             (p + WINDOW).alias("upto"), (s["n"] + p + WINDOW - F.greatest(s["upto"], p)).alias("n")), lambda s: s["n"])
 
     hashes = bound(words, lambda w: F.when(F.size(w) >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(
+        F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WINDOW)]))).otherwise(
             F.array().cast("array<bigint>")))
     return bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(places(h)))
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import groupby
 
 import numpy as np
@@ -204,6 +205,8 @@ class PieceModel:
     # -- merging ---------------------------------------------------------------------------
     def merged(self, segment: str) -> list[str]:
         """Pieces of a segment: the adjacent pair of the best score merges first, leftmost on ties."""
+        if len(segment) > 100:
+            return self._merged_long(segment)
         parts, rank, none = list(segment), self.rank.get, self.no_rank
         ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
         while ranks:
@@ -219,6 +222,29 @@ class PieceModel:
                 ranks[i - 1] = rank(parts[i - 1] + joined, none)
         return parts
 
+    def _merged_long(self, segment: str) -> list[str]:
+        """The same by a heap of pairs over a linked list, for segments of any length."""
+        parts: list[str | None] = list(segment)
+        rank, end = self.rank.get, len(parts)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(r, i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a + b)) is not None]
+        heapify(heap)
+        while heap:
+            _, i, joined = heappop(heap)
+            j = after[i]
+            if parts[i] is None or j == end or parts[i] + parts[j] != joined:
+                continue  # one of the two is part of a longer piece by now
+            parts[i], parts[j] = joined, None
+            k = after[i] = after[j]
+            if k < end:
+                before[k] = i
+                if (r := rank(joined + parts[k])) is not None:
+                    heappush(heap, (r, i, joined + parts[k]))
+            h = before[i]
+            if h >= 0 and (r := rank(parts[h] + joined)) is not None:
+                heappush(heap, (r, h, parts[h] + joined))
+        return [p for p in parts if p is not None]
+
     def coded(self, segment: str) -> list[tuple[int, int, int]]:
         """(id, characters, bytes of the character) of a segment; ``characters`` is 0 and
         ``bytes`` 1 for all but the last byte of a character that falls back to bytes."""
@@ -251,7 +277,7 @@ class PieceModel:
         else:
             packed = self.packed
             value = b"".join([packed.get(p) or self._pack(p) for p in self.merged(text)])
-        if not dummy:
+        if not dummy and len(segment) <= 256:
             if len(self.cache) >= self.cache_size:
                 self.cache.clear()
             self.cache[segment] = value
