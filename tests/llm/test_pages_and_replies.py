@@ -30,6 +30,37 @@ def test_furniture_goes_and_text_stays():
     assert pages.main_text(bare, tree) == f"A title\n{LONG.strip()}\n{LONG.strip()}"
 
 
+def test_wrappers_named_after_furniture_keep_their_article():
+    tree = pages.trained()
+    for name in ("site has-sidebar", "content no-comments", "page-with-header", "layout widget-area", "post tags-news",
+                 "main-nav-open", "social-science", "widget", "promo banner"):
+        page = f"""<body><nav><a href=a>Home</a></nav><div class="{name}"><article><h1>The head line</h1><p>{LONG}</p>
+          <section class="share-prices"><p>Prices: {LONG}</p></section></article></div><div class="ad">Buy this now.</div></body>"""
+        assert pages.main_text(page, tree) == f"The head line\n{LONG.strip()}\nPrices: {LONG.strip()}", name
+    for name in ("comments", "comment-replies"):  # however long they are
+        page = f"<article><p>{LONG}</p></article><div id='{name}'>" + f"<article><p>I think {LONG}</p></article>" * 9 + "</div>"
+        assert pages.main_text(page, tree) == LONG.strip(), name
+
+
+def test_a_teaser_article_does_not_hide_the_page():
+    tree = pages.trained()
+    body = "".join(f"<div>{LONG * 2}</div>" for _ in range(6))
+    page = f"<div><a href=a>Home</a> <a href=b>News</a></div><article>Read <a href=c>more of it</a></article><h1>A title line</h1>{body}"
+    got = pages.main_text(page, tree)
+    assert got.count(LONG.strip()) == 12 and "A title line" in got and "Home" not in got
+
+
+def test_open_tags_are_passed_over_once():
+    import time
+
+    tree = pages.trained()
+    for page in ("<a " * 350_000, '<a "' * 250_000, "<a '" * 250_001 + ">x", "<p>" * 300_000, "<" * 1_000_000, "<!-" * 300_000, "</a" * 300_000):
+        start = time.time()
+        pages.main_text(f"<article><p>{LONG}</p></article>{page}", tree)
+        assert time.time() - start < 8, page[:10]
+    assert pages.main_text(f'<article><p>{LONG}</p><p title="open>{LONG}</p></article>', tree).count(LONG.strip()) == 2
+
+
 def test_trained_tree_knows_its_table():
     tree = pages.trained()
     assert sum(pages.is_main(tree, r[:-1]) == bool(r[-1]) for r in pages.LABELLED) == len(pages.LABELLED)

@@ -53,14 +53,26 @@ FURNITURE_NAMES = frozenset(
         "sponsored", "subscribe", "subscription", "tags", "teaser", "toolbar", "widget",
     ])
 
+# A quote that is never closed is an ordinary character, and a tag that is never closed runs to the end
+# of the page: every "<" with a name matches, so a page is passed over once.
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    rf"|<(script|style|textarea|title)(?=[\s/>])(?:{_ATTRIBUTES})(?:>|\Z).*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _VALUES = re.compile(r"\"[^\"]*\"|'[^']*'")
 
+NEUTRAL_NAMES = frozenset(
+    [
+        "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "global", "icons",
+        "inner", "item", "left", "link", "links", "list", "right", "section", "site", "slot", "top", "unit",
+    ])
+COMMENT_NAMES = frozenset(["comment", "comments", "disqus", "replies", "respond"])
+WRAPPER = 0.6  # a named element with a greater share of the page's words is no furniture
+ARTICLE = 0.25  # least share of the words outside furniture that makes an article the page's
+
 # One row a block: words, link density in percent, words and density of the block before, the same
 # of the block after, inside furniture, place (2: in an article, 1: the page has none, 0: outside it),
 # is a heading; main text.
@@ -120,15 +132,41 @@ def is_main(tree: tuple | int, features: tuple) -> bool:
     return bool(tree)
 
 
-def _names(attributes: str) -> set[str]:
-    found = (a or b or c for a, b, c in _NAMES.findall(attributes))
-    return {part for value in found for part in re.split(r"[^a-z0-9]+", value.lower())}
+def _furniture_name(attributes: str) -> str:
+    """The first whole name among class, id and role that stands for furniture: a listed word, or
+    several of them joined, also with words that say nothing, such as cookie-notice or site-footer.
+    Names that only hold such a word, such as has-sidebar, are none."""
+    for found in _NAMES.findall(attributes):
+        for name in "".join(found).lower().split():
+            parts = [p for p in re.split(r"[-_]+", name) if p]
+            if any(p in FURNITURE_NAMES for p in parts) and all(p in FURNITURE_NAMES or p in NEUTRAL_NAMES for p in parts):
+                return name
+    return ""
 
 
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
-    """(text, words, link density in percent, in furniture, in article, heading) of each block."""
-    out: list[tuple[str, int, float, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, silent, furniture, article
+    """(text, words, link density in percent, in furniture, in article, heading) of each block.
+
+    An element with the name of furniture that holds most of the page's words is a wrapper, not
+    furniture, unless its name is of reader comments.
+    """
+    found, named = _parsed(page)
+    total = sum(b[1] for b in found)
+    held: dict[int, int] = {}
+    for b in found:
+        for element in b[6]:
+            held[element] = held.get(element, 0) + b[1]
+    wrappers = {e for e, n in held.items() if n > WRAPPER * total and not COMMENT_NAMES.intersection(re.split(r"[-_]+", named[e]))}
+    return [(text, words, density, plain or any(e not in wrappers for e in elements), article, heading)
+            for text, words, density, plain, article, heading, elements in found]
+
+
+def _parsed(page: str) -> tuple[list[tuple], list[str]]:
+    """Blocks with the named elements they stand in, and the names of these elements."""
+    out: list[tuple] = []
+    names: list[str] = []
+    stack: list[tuple] = []  # element, silent, furniture by tag, article, elements with a name of furniture
+    inside: tuple[int, ...] = ()
     parts: list[str] = []
     linked: list[str] = []
     links = heading = 0
@@ -141,7 +179,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             if text:
                 words = len(text.split(" "))
                 n = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append((text, words, min(100.0, 100 * n / words), furniture, article, bool(heading)))
+                out.append((text, words, min(100.0, 100 * n / words), furniture, article, bool(heading), inside))
             parts, linked = [], []
 
     at = 0
@@ -174,38 +212,43 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
                     break
                 if stack[k][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
                     break  # an end tag does not leave the article around it
-            _, silent, furniture, article = stack[-1] if stack else ("", False, False, False)
+            _, silent, furniture, article, inside = stack[-1] if stack else ("", False, False, False, ())
         elif name not in VOID_TAGS and not attributes.endswith("/") and name not in ("p", "html"):
             known = name in BLOCK_TAGS or name in SILENT_TAGS
-            named = bool(attributes) and not {"article", "main"} & {name} and name != "body" and (
-                not FURNITURE_NAMES.isdisjoint(_names(attributes)))
+            called = _furniture_name(attributes) if attributes and name not in ("article", "main", "body") else ""
             hides = bool(attributes) and bool(_HIDDEN.search(_VALUES.sub(
                 lambda m: m[0] if "none" in m[0] or "true" in m[0] else '""', attributes)))
-            if known or named or hides:
+            if known or called or hides:
+                if called:
+                    names.append(called)
+                # An article in furniture is none: a card of a list, or a reader's comment.
                 now = (name, silent or name in SILENT_TAGS or hides,
-                       furniture or named or name in FURNITURE_TAGS and not (name == "header" and article),
-                       (article or name in ("article", "main")) and not (name == "article" and furniture))
-                if now[1:] != (silent, furniture, article):
+                       furniture or name in FURNITURE_TAGS and not (name == "header" and article),
+                       article or name in ("article", "main") and not (name == "article" and furniture),
+                       (*inside, len(names) - 1) if called else inside)
+                if now[1:] != (silent, furniture, article, inside):
                     close()
                 stack.append(now)
-                _, silent, furniture, article = now
+                _, silent, furniture, article, inside = now
     if not silent:
         parts.append(page[at:])
         if links:
             linked.append(page[at:])
     close()
-    return out
+    return out, names
 
 
 def main_text(page: str | None, tree: tuple | int) -> str:
     """The main text of a page, its blocks joined by line ends in page order."""
     found = blocks(page) if page else []
-    some = any(b[4] and not b[3] for b in found)
+    # An article counts as the page's if it holds a good part of the words that are not furniture.
+    own = sum(b[1] for b in found if b[4] and not b[3])
+    some = own > 0 and own >= ARTICLE * sum(b[1] for b in found if not b[3])
     edge = ("", 0, 0.0, False, False, False)
     kept = []
     for i, b in enumerate(found):
         before, after = found[i - 1] if i else edge, found[i + 1] if i + 1 < len(found) else edge
-        features = (b[1], b[2], before[1], before[2], after[1], after[2], b[3], 2 if b[4] else 0 if some else 1, b[5])
+        features = (b[1], b[2], before[1], before[2], after[1], after[2], b[3], (2 if b[4] else 0) if some else 1, b[5])
         if is_main(tree, features):
             kept.append(b[0])
     return "\n".join(kept)
