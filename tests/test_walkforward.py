@@ -83,3 +83,33 @@ def test_boosting_keeps_a_constant_and_one_split():
     assert np.allclose(flat, 3.0)
     step = walkforward.boosted(x, np.array([0.0, 0.0, 1.0, 1.0] * 25), x[:4], n_trees=400, rate=0.1, rows=1.0, columns=1.0)
     assert np.allclose(step, [0, 0, 1, 1], atol=0.02)
+
+
+def test_decayed_sums_equal_the_recursion(spark):
+    rng = np.random.default_rng(8)
+    data = {(k, d): rng.normal(size=n) for k, n in (("p", 300), ("q", 64), ("r", 1)) for d in (0.6, 0.9)}
+    rows = [(k, d, i, float(v)) for (k, d), x in data.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "key string, d double, pos int, c double")
+    got = {(r.key, r.d, r.pos): r.h for r in forecasting.decayed_sums(df, ["key", "d"], "pos", "c", F.col("d"), "h").collect()}
+    for (k, d), x in data.items():
+        h = None
+        for i, v in enumerate(x):
+            h = v if h is None else v + d * h
+            assert math.isclose(got[k, d, i], h, rel_tol=1e-6, abs_tol=1e-8)
+    assert len(got) == len(rows)
+
+
+def test_variance_recursion_equals_a_loop(spark):
+    rng = np.random.default_rng(9)
+    ret = rng.normal(size=400)
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(ret)], "key string, d int, ret double").withColumn(
+        "date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")))
+    a, g, b = 0.05, 0.04, 0.85
+    got = {r.date: r.forecast for r in forecasting.variance_benchmark(df.select("key", "date", "ret"), "key", [(a, g, b)]).collect()}
+    start, h = df.agg(F.min("date")).first()[0], None
+    for i in range(1, 400):
+        level = (ret[:i] ** 2).mean()
+        h = level if h is None else (1 - a - g / 2 - b) * level + (a + (g if ret[i - 1] < 0 else 0)) * ret[i - 1] ** 2 + b * h
+        day = start + __import__("datetime").timedelta(days=i)
+        if i >= 300:
+            assert math.isclose(got[day], h, rel_tol=1e-8)

@@ -164,45 +164,53 @@ def variance_grid(alphas: Sequence[float], betas: Sequence[float],
     return [(a, g, b) for a in alphas for g in leverages for b in betas if a + g / 2 + b < 1.0]
 
 
+def decayed_sums(rows: DataFrame, keys: Sequence[str], pos: str, c: str, decay: Column, name: str, block: int = 64) -> DataFrame:
+    """``name``: h with h = c at the first row of a key and h = c + decay * h(before) from then on.
+
+    A step is the map h -> c + decay * h, and maps compose, so a series is scanned in two levels:
+    inside blocks of ``block`` rows as running sums of c over powers of the decay, then one row a
+    block for what the blocks before it carry in. Memory is one block, not one path; blocks are
+    keys, so there are more tasks than series. ``decay`` is constant in a key, between 0 and 1; a
+    block is short enough that its powers keep their digits down to a decay of about 0.6.
+    """
+    keys = list(keys)
+    at = F.col(pos) % block
+    inside = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    cut = rows.withColumns({"_b": F.floor(F.col(pos) / block), "_d": decay})
+    local = cut.withColumn("_l", F.sum(F.col(c) / F.pow("_d", at)).over(inside) * F.pow("_d", at))
+    ends = local.groupBy(*keys, "_b").agg(F.max_by("_l", pos).alias("_end"), F.max("_d").alias("_d"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    step = lambda h, e: e["_end"] + h * F.pow(e["_d"], e["_n"])
+    carried = ends.withColumn("_past", F.collect_list(F.struct("_end", "_d", "_n")).over(before)).select(
+        *keys, "_b", F.aggregate("_past", F.lit(0.0), step).alias("_in"))
+    out = local.join(carried, [*keys, "_b"])
+    return out.withColumn(name, F.col("_l") + F.col("_in") * F.pow("_d", at + 1)).drop("_b", "_d", "_l", "_in")
+
+
 def variance_benchmark(
     returns: DataFrame, key: str, params: Sequence[tuple[float, float, float]],
     test_fraction: float = 0.25, refit: int = 21,
 ) -> DataFrame:
     """Best variance-targeted recursion per (series, cut-off), out of sample.
 
-    Every (series, parameter) pair is a row holding the ordered returns of one series (one
-    calendar of days). The recursion h' = w + (a + g*[r<0]) r^2 + b h runs as a SQL
-    aggregate inside that row, so work spreads over series x parameters. The long-run level
-    is the expanding variance known at the time, and the state moves every day.
+    Every (series, parameter) pair is a key. The recursion h' = w + (a + g*[r<0]) r^2 + b h is a
+    decayed sum of what is known at each row, see :func:`decayed_sums`. The long-run level is the
+    expanding variance known at the time, and the state moves every day.
     """
     w, p = series.by(key), series.whole(key)
     known = returns.filter(F.col("ret").isNotNull())
     sq = F.col("ret") * F.col("ret")
     placed = known.withColumns({
-        "pos": F.row_number().over(w) - 1, "n": F.count("*").over(p),
+        "pos": F.row_number().over(w) - 1, "n": F.count("*").over(p), "before": F.lag("ret").over(w),
         "level": F.avg(sq).over(series.past(w))})
-    lists = placed.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.struct("pos", "date", "ret", "level"))).alias("days"), F.max("n").alias("n"))
     grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(g).alias("g"), F.lit(b).alias("b"))
                      for a, g, b in params])
-    spread = lists.select(key, "n", "days", F.explode(grid).alias("m"))
-    spread = spread.repartition(F.col(key), F.col("m"))
     a, g, b = F.col("m.a"), F.col("m.g"), F.col("m.b")
-
-    def step(state: Column, day: Column) -> Column:
-        prev = state["h"]
-        news = (a + F.when(state["r"] < 0, g).otherwise(0.0)) * state["r"] * state["r"]
-        level = (1.0 - a - g / 2.0 - b) * day["level"]
-        h = F.when(prev.isNull(), day["level"]).otherwise(level + news + b * prev)
-        return F.struct(h.alias("h"), day["ret"].alias("r"),
-                        F.concat(state["path"], F.array(h)).alias("path"))
-    start = F.struct(F.lit(None).cast("double").alias("h"), F.lit(0.0).alias("r"),
-                     F.array().cast("array<double>").alias("path"))
-    paths = spread.select(key, "n", "m", "days", F.aggregate(
-        "days", start, step, lambda s: s["path"]).alias("path"))
-    daily = paths.select(key, "n", "m", F.inline(F.arrays_zip(
-        F.col("days.pos").alias("pos"), F.col("days.date").alias("date"),
-        F.col("days.ret").alias("ret"), F.col("path").alias("h"))))
+    spread = placed.filter("level IS NOT NULL").select(key, "n", "pos", "date", "ret", "before", "level", F.explode(grid).alias("m"))
+    news = (a + F.when(F.col("before") < 0, g).otherwise(0.0)) * F.col("before") * F.col("before")
+    spread = spread.withColumns({"k": F.col("pos") - 1, "c": F.when(F.col("pos") == 1, F.col("level")).otherwise(
+        (1.0 - a - g / 2.0 - b) * F.col("level") + news)})
+    daily = decayed_sums(spread, [key, "m"], "k", "c", b, "h")
     daily = daily.withColumns({
         "rv": F.col("ret") * F.col("ret"),
         "ts": F.floor(F.col("n") * (1.0 - test_fraction)).cast("int")})
