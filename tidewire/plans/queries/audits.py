@@ -275,11 +275,20 @@ def walk_forward_cutoffs(x):
     return out.select("series", "date", "pos", "test_start", "use_step", "train_step")
 
 
-@query("K6")
+def _panel_twin():
+    from tidewire.plans.queries import forecasts as f
+
+    columns = f._SET_F + f._SET_P + f._SET_N + f._SET_G
+    return f"SELECT date, {', '.join(f'{rr(c, 6)} AS {c}' for c in columns)} FROM ({f.panel_sql()})"
+
+
+@query("K6", _panel_twin())
 def model_panel_rows(x):
     from tidewire.plans.queries.forecasts import model_panel
     panel, sets = model_panel(x)
-    return panel.select("date", *sets["PNG"])
+    # The event table gives its two ratios to eight digits.
+    ratios = rounded(panel.select("date", *sets["PNG"]), 8, "interception_rate_lag1", "weapon_diversity_lag1")
+    return rounded(ratios, 6, *sets["PNG"])
 
 
 # --- streams: each is driven to the end of the table and read back --------------------------

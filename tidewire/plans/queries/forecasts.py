@@ -491,6 +491,43 @@ def model_panel(x):
     return panels.model_panel(trading, ["T1", "T2", "r_spx"], ["vix"], indices, phys)
 
 
+_PHYS = ("launched_total", "destroyed_total", "interception_rate", "weapon_diversity")
+_SET_F = [f"{n}_lag{k}" for n in ("T1", "T2", "r_spx") for k in (1, 5)] + ["vix_lag1"] + [f"regime_{n}" for n in fixed.REGIMES]
+_SET_P = [f"{n}_lag1" for n in _PHYS]
+_SET_N = [f"{p}_{e}_d1" for p in ("att", "tone") for e in fixed.CORE_LABELS]
+_SET_G = [f"gap_{n}_lag1" for n in panels.GAPS]
+
+
+def panel_sql():
+    """The model panel in SQL: (date, T1, T2, features, attack_unobserved)."""
+    from tidewire.plans.queries.sources import EVENTS_SQL
+
+    def filled(n):
+        value = f"coalesce(CAST(e.{n} AS DOUBLE), CAST(0 AS DOUBLE))"
+        return (f"CASE WHEN date < DATE '{fixed.INVASION_DATE}' THEN CAST(0 AS DOUBLE) "
+                f"WHEN date >= DATE '{fixed.COUNTS_START}' THEN {value} END AS {n}")
+
+    regime = (f"CASE WHEN date >= DATE '{fixed.COUNTS_START}' THEN 'attrition' WHEN date >= DATE '{fixed.INVASION_DATE}' THEN 'invasion' "
+              f"WHEN date >= DATE '{fixed.BUILDUP_START}' THEN 'buildup' ELSE 'pre_war' END")
+    made = [f"lag({n}, {k}) OVER w AS {n}_lag{k}" for n in ("T1", "T2", "r_spx") for k in (1, 5)] + ["lag(vix) OVER w AS vix_lag1"]
+    made += [f"CAST({regime} = '{n}' AS INTEGER)::DOUBLE AS regime_{n}" for n in fixed.REGIMES]
+    made += [f"lag({n}_{e}, 1) OVER w - lag({n}_{e}, 2) OVER w AS {n}_{e}_d1" for n in ("att", "tone") for e in fixed.CORE_LABELS]
+    made += [f"lag({n}) OVER w AS {n}_lag1" for n in _PHYS]
+    made += [f"lag(tone_{a} - tone_{b}) OVER w AS gap_{n}_lag1" for n, (a, b) in panels.GAPS.items()]
+    news = ", ".join(f"last_value({n} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS {n}" for n in NEWS)
+    return f"""
+SELECT date, T1, T2, {', '.join(made)}, date >= DATE '{fixed.INVASION_DATE}' AND date < DATE '{fixed.COUNTS_START}' AS attack_unobserved
+FROM (SELECT date, max(ret) FILTER (WHERE ticker = 'T1') AS T1, max(ret) FILTER (WHERE ticker = 'T2') AS T2 FROM ({RET}) GROUP BY 1) t
+JOIN (SELECT date, vix, CASE WHEN spx > 0 AND lag(spx) OVER (ORDER BY date) > 0
+  THEN 100 * ln(spx / lag(spx) OVER (ORDER BY date)) END AS r_spx FROM {{market}}) m USING (date)
+JOIN (SELECT date AS date FROM {{risk}}) k USING (date)
+LEFT JOIN (SELECT date, {news} FROM (SELECT day AS date, {PIVOT} FROM ({DAILY_RAW})
+  WHERE ecosystem IN ('UA', 'RU_STATE', 'RU_INDEP', 'WEST', 'EN_GLOBAL') GROUP BY day)) n USING (date)
+LEFT JOIN (SELECT date, {', '.join(map(filled, _PHYS))} FROM (SELECT DISTINCT date FROM {{prices}}) d
+  LEFT JOIN (SELECT day AS date, {', '.join(_PHYS)} FROM ({EVENTS_SQL})) e USING (date)) p USING (date)
+WINDOW w AS (ORDER BY date)"""
+
+
 def plan_for(x, horizons=(1, 5), refit=21, targets=("T1", "T2")):
     """Common complete-case frame and cut-offs of every (target, horizon) cell."""
     panel, sets = model_panel(x)
@@ -532,7 +569,28 @@ def walk_forward_plan(x):
     return forecasting.cutoffs(plan, cell, "horizon")
 
 
-@query("I18")
+_KNOWN = " AND ".join(f"{f} IS NOT NULL" for f in _SET_F + _SET_P + _SET_N + _SET_G)
+_LABELS = " UNION ALL ".join(
+    f"SELECT '{t}' AS target, {h} AS horizon, * FROM (SELECT date, {_KNOWN} AS known, "
+    f"count({t}) OVER f = {h} AS labelled FROM o WINDOW f AS (ORDER BY date ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING))"
+    for t in ("T1", "T2") for h in (1, 5))
+# Positions, cut-offs and the last label that each may train on, from the definition of the plan.
+LEAKAGE_SQL = f"""
+WITH o AS (SELECT * FROM ({panel_sql()}) WHERE NOT attack_unobserved),
+r AS (SELECT *, row_number() OVER (PARTITION BY target, horizon ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY target, horizon) AS n
+  FROM ({_LABELS}) WHERE known AND labelled),
+t AS (SELECT *, CAST(floor(n * 0.75) AS BIGINT) AS ts FROM r WHERE n >= 300),
+u AS (SELECT DISTINCT target, horizon, ts, ts + (pos - ts) // 21 * 21 AS step FROM t WHERE pos >= ts),
+k AS (SELECT target, horizon, step, (SELECT max(pos + a.horizon - 1) FROM t b WHERE b.target = a.target AND b.horizon = a.horizon
+  AND a.ts + greatest(0, ceil((b.pos + a.horizon - a.ts) / 21.0)) * 21 <= a.step) AS last_label FROM u a)
+SELECT target, CAST(horizon AS INTEGER) AS horizon, count(*) AS n_cutoffs, count(*) FILTER (last_label >= step) AS n_leaking,
+  CASE WHEN target = 'T1' THEN (SELECT count(*) FROM (DESCRIBE SELECT * EXCLUDE (date, T1, T2, attack_unobserved) FROM o)
+    WHERE NOT regexp_matches(column_name, '(_lag[0-9]+|_d1|_rolling_lag1)$') AND NOT starts_with(column_name, 'regime_')) END AS n_unlagged
+FROM k GROUP BY 1, 2
+"""
+
+
+@query("I18", LEAKAGE_SQL)
 def leakage_audit(x):
     """No cut-off trains on a label its forecast days have not realised; no unlagged input."""
     plan, sets, cell = plan_for(x)
@@ -542,13 +600,29 @@ def leakage_audit(x):
     return leaks.join(loose, "target", "left")
 
 
-@query("F6 K6")
+_NESTED = {"F": _SET_F, "P": _SET_F + _SET_P, "N": _SET_F + _SET_N, "PN": _SET_F + _SET_P + _SET_N,
+           "PNG": _SET_F + _SET_P + _SET_N + _SET_G}
+_PAIRS = [("F", "P"), ("F", "N"), ("P", "PN"), ("N", "PN"), ("PN", "PNG")]
+# Which set a column of the panel belongs to is told by its name; the sets are then counted and compared.
+NESTING_SQL = f"""
+WITH c AS (SELECT column_name AS f, CASE WHEN column_name LIKE 'gap%' THEN 'G' WHEN column_name LIKE '%!_d1' ESCAPE '!' THEN 'N'
+    WHEN column_name IN ({', '.join(f"'{n}_lag1'" for n in _PHYS)}) THEN 'P' ELSE 'F' END AS part
+  FROM (DESCRIBE SELECT * EXCLUDE (date, T1, T2, attack_unobserved) FROM ({panel_sql()}))),
+s(info_set, parts) AS (VALUES ('F', 'F'), ('P', 'FP'), ('N', 'FN'), ('PN', 'FPN'), ('PNG', 'FPNG')),
+m AS (SELECT info_set, f FROM s JOIN c ON contains(parts, part)),
+x(small, large) AS (VALUES {', '.join(str(p) for p in _PAIRS)}),
+b AS (SELECT large, count(*) AS n FROM x JOIN m ON m.info_set = small
+  WHERE NOT EXISTS (SELECT 1 FROM m k WHERE k.info_set = large AND k.f = m.f) GROUP BY 1)
+SELECT info_set, count(*) AS n_features, coalesce(max(b.n), 0) AS n_missing FROM m LEFT JOIN b ON b.large = info_set GROUP BY 1
+"""
+
+
+@query("F6 K6", NESTING_SQL)
 def information_set_nesting(x):
     """Features per set, and how many break the nesting (0 everywhere)."""
     _, sets = model_panel(x)
     rows = panels.information_sets(x.spark, sets)
-    broken = panels.nesting_violations(
-        rows, [("F", "P"), ("F", "N"), ("P", "PN"), ("N", "PN"), ("PN", "PNG")])
+    broken = panels.nesting_violations(rows, _PAIRS)
     counts = rows.groupBy("info_set").agg(F.count("*").alias("n_features"))
     bad = broken.groupBy(F.col("large").alias("info_set")).agg(F.count("*").alias("n_missing"))
     return counts.join(bad, "info_set", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
