@@ -106,16 +106,13 @@ def blocks_by_label(features: Sequence[str], groups: Mapping[str, Sequence[str]]
 LOCAL_AND_WEST = {"local": fixed.LOCAL_LABELS, "west": fixed.WESTERN_LABELS}
 
 
-def label_race(
+def label_fits(
     panel: DataFrame, windows: Windows, targets: Mapping[str, str],
     prefixes: Sequence[str] = ("att", "tone"), labels: Sequence[str] = fixed.CORE_LABELS,
     lags: Sequence[int] = (0,), extra_cell: Sequence[str] = (), control: str = "lvix",
-) -> DataFrame:
-    """The joint test of local labels given the western ones, for a whole grid.
-
-    One row per (window, freq, target, lag): n, k, r2, ``p_local``, ``p_west``. The panel
-    has one row per day (and per ``extra_cell`` value); the grid multiplies days, not facts.
-    """
+) -> tuple[DataFrame, list[str]]:
+    """The regressions of a whole grid of (window, freq, target, lag), and the names of its keys. The
+    panel has one row per day (and per ``extra_cell`` value); the grid multiplies days, not facts."""
     news = [f"{p}_{e}" for e in labels for p in prefixes]
     base = [*extra_cell, "window", "target"]
     rows = enough_targets(per_target(in_windows(panel, windows), targets), base)
@@ -126,11 +123,21 @@ def label_race(
     made = made.withColumn(control, series.zscore(F.col(control), series.whole(cell)))
     features = [*news, "mkt", control]
     design = complete(made, cell, "y", features)
-    fits = moments.ols_hac(design, cell, "y", features,
-                           blocks_by_label(news, LOCAL_AND_WEST), maxlags=5)
-    out = moments.block_p(fits, cell, ["local", "west"])
+    return moments.ols_hac(design, cell, "y", features, blocks_by_label(news, LOCAL_AND_WEST), maxlags=5), cell
+
+
+def label_race(panel: DataFrame, windows: Windows, targets: Mapping[str, str], **settings) -> DataFrame:
+    """The joint test of local labels given the western ones, for a whole grid: n, k, r2,
+    ``p_local``, ``p_west`` of each cell; see :func:`label_fits`."""
+    out = moments.block_p(*label_fits(panel, windows, targets, **settings), ["local", "west"])
     return out.filter(F.col("p_local").isNotNull())
 
 
+def local_terms(fits: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """(cell, term, coef) of the local labels."""
+    local = "|".join(LOCAL_AND_WEST["local"])
+    return moments.terms(fits, cell).filter(F.col("term").rlike(f"_({local})$")).select(*cell, "term", "coef")
+
+
 def with_bh(grid: DataFrame, p: str = "p_local", family: Sequence[str] = ("lag",)) -> DataFrame:
     return benjamini_hochberg(grid, p, family)

@@ -523,6 +523,54 @@ def rules(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
     return wide.select(F.inline(F.array(*pairs)))
 
 
+def strict_rules(
+    grid: DataFrame, coefs: DataFrame, cell: Sequence[str], window: str, targets: Sequence[str], episodes: Sequence[str],
+) -> DataFrame:
+    """The strict reading of the pass rule, (rule, pass) rows.
+
+    Arm 1: a survivor of the correction in ``window`` on one of ``targets``. Arm 2: survivors in at
+    least two of the ``episodes`` windows that agree, that is, some term of ``coefs`` (cell, term, coef)
+    has one sign in all surviving cells of two windows or more. Either arm passes.
+    """
+    lived = grid.filter("survives_bh")
+    named = lived.filter((F.col("window") == window) & F.col("target").isin(list(targets)))
+    inside = lived.filter(F.col("window").isin(list(episodes)))
+    by_term = coefs.join(inside.select(*cell), list(cell), "left_semi").filter("coef <> 0").groupBy("term").agg(
+        F.count_distinct("window").alias("windows"), F.count_distinct(F.signum("coef")).alias("signs"))
+    facts = [named.agg(F.lit("one").alias("k"), (F.count("*") > 0).alias("v")),
+             inside.agg(F.lit("two").alias("k"), (F.count_distinct("window") >= 2).alias("v")),
+             by_term.agg(F.lit("agree").alias("k"), F.bool_or((F.col("windows") >= 2) & (F.col("signs") == 1)).alias("v"))]
+    told = facts[0].unionByName(facts[1]).unionByName(facts[2])
+    held = lambda k: F.coalesce(F.bool_or((F.col("k") == k) & F.col("v")), F.lit(False))
+    pairs = [("arm 1: survivor on a qualifying target", held("one")), ("arm 2: survivors in two episode windows", held("two")),
+             ("arm 2: a term of one sign in them", held("agree")), ("overall", held("one") | held("two") & held("agree"))]
+    wide = told.agg(*[v.alias(f"_{i}") for i, (_, v) in enumerate(pairs)])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"_{i}").alias("pass")) for i, (k, _) in enumerate(pairs)])))
+
+
+def holdout_rules(
+    grid: DataFrame, placebo: DataFrame, dynamics: DataFrame, horizons: Sequence[int], p: str = "p_local",
+) -> DataFrame:
+    """The rule on held-out blocks, (rule, pass) rows: the correction's survivors at every horizon, a
+    shuffled placebo above 0.20 everywhere, and p under 0.05 everywhere with twelve own lags.
+
+    The three tables are results of one outcome with a row a horizon. A missing row or p fails.
+    """
+    def part(df: DataFrame, name: str, good: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("part"), "horizon", F.coalesce(good, F.lit(False)).alias("good"))
+
+    rows = part(grid, "grid", F.col("survives_bh")).unionByName(part(placebo, "placebo", F.col(p) > 0.20)).unionByName(
+        part(dynamics, "dynamics", F.col(p) < 0.05)).filter(F.col("horizon").isin(list(horizons)))
+
+    def every(name: str) -> Column:
+        mine = F.col("part") == name
+        return (F.count_distinct(F.when(mine, F.col("horizon"))) == len(horizons)) & (F.count_if(mine & ~F.col("good")) == 0)
+
+    return rules(rows, {
+        "survives at every horizon": every("grid"), "shuffle placebo above a fifth": every("placebo"),
+        "survives twelve own lags": every("dynamics")})
+
+
 def sensitivity_summary(
     grid: DataFrame, family: Sequence[str], p: str = "p_local", alpha: float = 0.05,
 ) -> DataFrame:

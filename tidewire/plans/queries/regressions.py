@@ -12,6 +12,7 @@ from tidewire.plans.queries.daily_series import RET, returns, rounded
 from tidewire.plans.registry import query
 from tidewire.plans.sqltext import r, rr
 from tidewire.functions.tails import normal_sf_sql
+from tidewire.session import durable
 
 # Windows over the test calendar with the roles of the fixed ones.
 WINDOWS = {
@@ -202,6 +203,26 @@ def escalation_placebo(x):
     return races.escalation(_held_out(x), ["gpr_act"], (1, 5), (6,), shuffle_seed=0)
 
 
+@query("I16 G6 G7")
+def holdout_rules(x):
+    """The rule on held-out blocks: survivors at both horizons, placebo, twelve own lags."""
+    rows = _held_out(x)
+    grid = testing.benjamini_hochberg(races.escalation(rows, ["gpr_act", "gpr_threat"], (1, 5), (6,)), "p_local")
+    placebo = races.escalation(rows, ["gpr_act"], (1, 5), (6,), shuffle_seed=0)
+    dynamics = races.escalation(rows, ["gpr_act"], (1, 5), (12,))
+    return testing.holdout_rules(grid.filter("outcome = 'gpr_act'"), placebo, dynamics, (1, 5))
+
+
+@query("I16 G4")
+def strict_rules(x):
+    """The strict reading of the pass rule over the threat and act grid."""
+    fits, cell = grids.label_fits(news_panel(x, "threat_act"), WINDOWS, TARGETS, prefixes=("act", "thr"))
+    fits = durable(fits)
+    grid = grids.with_bh(moments.block_p(fits, cell, ["local", "west"]).filter("p_local IS NOT NULL"))
+    return testing.strict_rules(grid, grids.local_terms(fits, cell), cell, "Russia buildup+invasion", ["T1", "T2"],
+                                ["Russia buildup+invasion", "2017-19 episodes"])
+
+
 MARKETS = {"spx": "r_spx", "sxxp": "r_sxxp", "none": None}
 
 
