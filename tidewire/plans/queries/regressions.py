@@ -210,7 +210,8 @@ def holdout_rules(x):
     grid = testing.benjamini_hochberg(races.escalation(rows, ["gpr_act", "gpr_threat"], (1, 5), (6,)), "p_local")
     placebo = races.escalation(rows, ["gpr_act"], (1, 5), (6,), shuffle_seed=0)
     dynamics = races.escalation(rows, ["gpr_act"], (1, 5), (12,))
-    return testing.holdout_rules(grid.filter("outcome = 'gpr_act'"), placebo, dynamics, (1, 5))
+    parts = (df.withColumnRenamed("h", "horizon") for df in (grid.filter("outcome = 'gpr_act'"), placebo, dynamics))
+    return testing.holdout_rules(*parts, (1, 5))
 
 
 @query("I16 G4")
