@@ -172,3 +172,36 @@ def test_a_feed_of_urls_reads_its_own_batch_only(spark, tmp_path):
             deliver(["u0", "u149"])
             for part in (tmp_path / "urls").glob("*.gone"):
                 os.rename(part, part.with_suffix(".parquet"))
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_closest_standing_text_by_brute_force(spark, block):
+    import random
+
+    pick, texts = random.Random(6), []
+    for i in range(25):  # chains: each text changes some of the one before
+        words = [pick.choice(["alpha", "bravo", "delta", "echo", "golf", "hotel", "india", "kilo"]) + str(pick.randrange(50)) for _ in range(60)]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            for _ in range(3):
+                words[pick.randrange(60)] = f"new{pick.randrange(999)}"
+    texts += ["x" * 30, "x" * 30, "short"]
+    order = list(enumerate(texts))
+    pick.shuffle(order)
+    got = {r.key: (r.duplicate_of, r.jaccard) for r in neardup.near_duplicates(
+        spark.createDataFrame(order, "k long, t string"), "k", "t", block=block).collect()}
+    sets = {k: {t[i:i + 5] for i in range(len(t) - 4)} for k, t in order if len(t) >= 20}
+    stands, want, seen = [], {}, {}
+    for k in sorted(sets):
+        text = texts[k]
+        if text in seen:
+            want[k] = (seen[text], 1.0)
+            continue
+        seen[text] = k
+        near = [(-len(sets[k] & sets[j]) / len(sets[k] | sets[j]), j) for j in stands]
+        best = min((x for x in near if -x[0] >= 0.7), default=None)
+        if best:
+            want[k] = (best[1], -best[0])
+        else:
+            stands.append(k)
+    assert got == want and len(want) > 60

@@ -127,7 +127,25 @@ def resolved_items(x):
     return audit.resolve_items(domains, claims(x))
 
 
-@query("D28")
+# All pairs by shared shingles, then one text after another in the order of ids against those that stand.
+NEAR_SQL = """
+WITH RECURSIVE t AS (SELECT min(doc_id) AS id, text FROM {documents} WHERE length(text) >= 20 GROUP BY text),
+s AS (SELECT DISTINCT id, substr(text, i, 5) AS g FROM (SELECT id, text, unnest(range(1, length(text) - 3)) AS i FROM t)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.id AS first, b.id AS leader, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND b.id < a.id GROUP BY 1, 2),
+e AS (SELECT first, leader, c / (x.n + y.n - c) AS jaccard FROM c JOIN n x ON x.id = first JOIN n y ON y.id = leader
+      WHERE c / (x.n + y.n - c) >= 0.7),
+o AS (SELECT id, row_number() OVER (ORDER BY id) AS rn, coalesce(list(leader) FILTER (leader IS NOT NULL), []) AS earlier
+      FROM (SELECT first AS id FROM e UNION SELECT leader FROM e) LEFT JOIN e ON e.first = id GROUP BY id),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS standing UNION ALL
+      SELECT i + 1, CASE WHEN list_has_any(earlier, standing) THEN standing ELSE list_append(standing, id) END FROM g JOIN o ON rn = i + 1),
+k AS (SELECT unnest(standing) AS leader FROM (SELECT standing FROM g ORDER BY i DESC LIMIT 1))
+SELECT doc_id AS key, id AS duplicate_of, CAST(1 AS DOUBLE) AS jaccard FROM {documents} JOIN t USING (text) WHERE doc_id <> id
+UNION ALL SELECT first, arg_min(leader, (-jaccard, leader)), max(jaccard) FROM e JOIN k USING (leader) GROUP BY first
+"""
+
+
+@query("D28", NEAR_SQL)
 def near_duplicate_texts(x):
     """Whole documents against earlier ones: 5-character shingles, Jaccard 0.7."""
     return neardup.near_duplicates(x.table("documents"), "doc_id", "text")
