@@ -320,28 +320,30 @@ def bootstrap_break(
 # --- model confidence set ---------------------------------------------------------------
 
 def replicate_means(
-    losses: DataFrame, n_boot: int, seed: int = 0, cell: Sequence[str] = (),
+    losses: DataFrame, n_boot: int, seed: int = 0, cell: Sequence[str] = (), chunk: int = 50,
 ) -> DataFrame:
     """(cell, rep, model, mean) of i.i.d. resamples of a cell's periods.
 
-    ``losses`` is (cell, period, model, loss) on common periods. A resample is a weight per
-    (rep, period), so each replicate mean is a weighted mean: the losses meet the weights
-    by an equality join on the period and shrink map-side.
+    ``losses`` is (cell, period, model, loss) on common periods, one calendar of them a cell. Replicates
+    are dealt into chunks; a (cell, chunk) is a key, and a replicate is a weight per period times the
+    matrix of losses. Draws depend on the seed and the replicate alone, so a lost task draws the same.
     """
     cell = list(cell)
-    periods = losses.select(*cell, "period").distinct()
-    parts = [F.col(k) for k in cell] or [F.lit("periods")]
-    order = Window.partitionBy(*parts).orderBy("period")
-    placed = periods.withColumn("pos", (F.row_number().over(order) - 1).cast("bigint"))
-    draws_rows = placed.select(
-        *cell, F.col("pos").alias("t"), F.count("*").over(Window.partitionBy(*parts)).alias("size")
-    ).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    weights = draws_rows.withColumn(
-        "pos", draws.index(F.col("size"), seed, F.col("rep"), F.col("t"))
-    ).groupBy(*cell, "rep", "pos").agg(F.count("*").alias("weight"))
-    weighted = weights.join(placed, [*cell, "pos"]).join(losses, [*cell, "period"])
-    return weighted.groupBy(*cell, "rep", "model").agg(
-        (F.sum(F.col("loss") * F.col("weight")) / F.sum("weight")).alias("mean"))
+    spread = losses.select(*cell, "period", "model", F.col("loss").cast("double").alias("loss"), F.explode(
+        F.sequence(F.lit(0), F.lit((n_boot - 1) // chunk))).alias("_chunk"))
+    shape = T.StructType([*(losses.schema[k] for k in cell), *T.StructType.fromDDL("rep int, model string, mean double").fields])
+
+    def draw(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
+        wide = mine.pivot(index="period", columns="model", values="loss").sort_index()
+        m, n = wide.to_numpy(), len(wide)
+        reps = np.arange(key[-1] * chunk + 1, min((key[-1] + 1) * chunk, n_boot) + 1)
+        weights = np.stack([np.bincount(np.random.default_rng([seed, rep]).integers(0, n, n), minlength=n) for rep in reps])
+        made = pd.DataFrame(weights @ m / n, index=pd.Index(reps, name="rep"), columns=wide.columns).stack().rename("mean").reset_index()
+        for name, value in zip(cell, key):
+            made[name] = value
+        return made[shape.names]
+
+    return spread.groupBy(*cell, "_chunk").applyInPandas(draw, shape)
 
 
 def confidence_set(
