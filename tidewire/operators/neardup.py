@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.session import durable
+from tidewire.session import durable, scratch
 
 
 def shingle_codes(text: str, size: int) -> np.ndarray:
@@ -25,51 +24,148 @@ def shingle_codes(text: str, size: int) -> np.ndarray:
     return np.unique(code).view(np.int64)
 
 
-def _signer(size: int, n_perm: int, seed: int):
+def _stored(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it back, so that later steps open only their columns."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def signer(size: int, n_perm: int, seed: int):
+    """A function of batches (first, hash, text) to (first, hash, signature): ``n_perm`` bytes, the low ones
+    of min-hashes. Unequal minima share a byte once in 256, which adds candidates and loses none.
+
+    One text at a time is cut into shingles, which stay inside the task; texts without any give no row.
+    """
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, 1 << 63, n_perm, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 63, n_perm, dtype=np.uint64)
-
-    @F.pandas_udf("struct<codes: array<bigint>, signature: array<bigint>>")
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            codes = shingle_codes(t, size)
-            u = codes.view(np.uint64)
-            with np.errstate(over="ignore"):
-                sig = [int(((u * x + y) >> np.uint64(1)).min()) for x, y in zip(a, b)] if len(u) else []
-            out.append((codes.tolist(), sig))
-        return pd.DataFrame(out, columns=["codes", "signature"])
+    a = rng.integers(0, 1 << 32, n_perm, dtype=np.uint32) | np.uint32(1)
+    b = rng.integers(0, 1 << 32, n_perm, dtype=np.uint32)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signed = []
+            for t in batch.column("text"):
+                u = (shingle_codes(t.as_py(), size).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                hashed, low = np.empty_like(u), np.empty(n_perm, np.uint32)
+                for k in range(n_perm if len(u) else 0):
+                    np.multiply(u, a[k], out=hashed)
+                    np.add(hashed, b[k], out=hashed)
+                    low[k] = hashed.min()
+                signed.append(low.astype(np.uint8).tobytes() if len(u) else None)
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("first"), batch.column("hash"), pa.array(signed, pa.binary())], ["first", "hash", "signature"])
+            yield out.filter(out.column("signature").is_valid())
     return sign
 
 
-def _candidates(spans: DataFrame, least: float) -> DataFrame:
-    """(first, leader): pairs of a block pair whose signatures agree in a share of ``least`` or more.
+def _met(left: tuple, right: tuple, same: bool, band: int, rows: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of two blocks (ids, signatures) whose first equal band is ``band`` and whose
+    signatures agree in a share of ``least`` or more. A pair thereby comes from one bucket only."""
+    one, two = [], []
+    for i in range(len(left[0])):
+        equal = right[1] == left[1][i]
+        bands = equal[:, :(band + 1) * rows].reshape(len(equal), band + 1, rows).all(2)
+        good = (equal.mean(1) >= least) & bands[:, band] & ~bands[:, :band].any(1)
+        good &= right[0] > left[0][i] if same else right[0] != left[0][i]
+        two.append(right[0][good])
+        one.append(np.full(len(two[-1]), left[0][i]))
+    return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (one, two))
 
-    ``spans`` is (bucket, lo, hi, members) with members (side, first, signature) of two blocks, or of one
-    with itself, so a row has a bounded size whatever the bucket.
+
+def _candidates(met: DataFrame, n_perm: int, rows: int, least: float) -> DataFrame:
+    """(first, leader): pairs of a block pair that may reach the threshold, each once.
+
+    ``met`` is (band, bucket, lo, hi, side, first, signature), a row for each member of two blocks, or of
+    one with itself. Rows come sorted by block pair; a task holds one batch and one block pair.
     """
+    key = ["band", "bucket", "lo", "hi"]
+
+    def pairs(ids: np.ndarray, sides: np.ndarray, signs: np.ndarray, band: int, lo: int, hi: int):
+        left = (ids[sides == 0], signs[sides == 0])
+        right = left if lo == hi else (ids[sides == 1], signs[sides == 1])
+        return _met(left, right, lo == hi, band, rows, least)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # parts of the block pair that the last batch ended in
+        last = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                one, two = pairs(*(np.concatenate(x) for x in zip(*held)), last[0], last[2], last[3])
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["first", "leader"])
+
         for batch in batches:
-            first, leader = [], []
-            for lo, hi, members in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "members"))):
-                sides = [[m for m in members if m["side"] == side] for side in (0, 1)]
-                left, right = sides if lo != hi else (sides[0], sides[0])
-                if not left or not right:
-                    continue
-                ids = [np.array([m["first"] for m in part]) for part in (left, right)]
-                signs = [np.array([m["signature"] for m in part]) for part in (left, right)]
-                for i in range(len(left)):
-                    agree = (signs[1] == signs[0][i]).mean(1) >= least
-                    for j in np.flatnonzero(agree):
-                        a, b = ids[0][i], ids[1][j]
-                        if a != b and (lo != hi or a < b):
-                            first.append(max(a, b))
-                            leader.append(min(a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in (first, leader)], ["first", "leader"])
-
-    kind = pa.int64()
-    return spans.mapInArrow(work, "first bigint, leader bigint").distinct()
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key])
+            ids, sides = batch.column("first").to_numpy(), batch.column("side").to_numpy()
+            signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, n_perm)
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for at, to in zip([0, *cuts], [*cuts, batch.num_rows]):
+                now = tuple(keys[:, at].tolist())
+                if now != last:
+                    yield from done()
+                    held.clear()
+                    last = now
+                held.append((ids[at:to], sides[at:to], signs[at:to]))
+        yield from done()
+
+    return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "first bigint, leader bigint")
+
+
+def _verified(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(first, leader, jaccard) of pairs (first, leader, text, other) at or above the threshold, by the
+    whole shingle sets of both texts. The sets live in the task, two at a time."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, np.ndarray]] = {}
+
+        def codes(side: str, text: str) -> np.ndarray:  # neighbouring rows often share a text
+            if side not in known or known[side][0] != text:
+                known[side] = (text, shingle_codes(text, size))
+            return known[side][1]
+
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column("text"), batch.column("other")):
+                one, two = codes("text", x.as_py()), codes("other", y.as_py())
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                found.append(common / (len(one) + len(two) - common))
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("first"), batch.column("leader"), pa.array(found, pa.float64())], ["first", "leader", "jaccard"])
+            yield out.filter(pa.array(np.array(found) >= threshold))
+
+    return pairs.select("first", "leader", "text", "other").mapInArrow(work, "first bigint, leader bigint, jaccard double")
+
+
+def _roots(left: DataFrame) -> DataFrame:
+    """(root): leaders of ``left`` (first, leader) that are below no other."""
+    return left.select(F.col("leader").alias("root")).distinct().join(
+        left.select(F.col("first").alias("root")).distinct(), "root", "left_anti")
+
+
+def _edges(pairs: DataFrame, sets: DataFrame, size: int, threshold: float, early: int = 2) -> DataFrame:
+    """(first, leader, jaccard): all pairs at or above the threshold whose leader may stand.
+
+    A large group of near copies has a pair for any two of its texts, but nearly all fall to its first one.
+    So ``early`` turns verify the pairs of the earliest texts alone; those of texts that fall by them are
+    not needed, as these lead nothing. What is left after that is verified at once.
+    """
+    def verified(some: DataFrame) -> DataFrame:
+        joined = some.join(sets, "first").join(sets.select(F.col("first").alias("leader"), F.col("text").alias("other")), "leader")
+        return _stored(_verified(joined, size, threshold))
+
+    found = None
+    rest, left = pairs, pairs  # pairs not verified of leaders that have not fallen; those of undecided texts
+    for _ in range(early):
+        roots = _stored(_roots(left).withColumnRenamed("root", "leader"))
+        now = verified(rest.join(roots, "leader", "left_semi"))
+        found = now if found is None else found.unionByName(now)
+        fallen = _stored(now.select(F.col("first").alias("leader")).distinct())
+        rest = _stored(rest.join(roots.unionByName(fallen), "leader", "left_anti"))
+        left = rest.join(fallen.withColumnRenamed("leader", "first"), "first", "left_anti")
+    rest = verified(rest)
+    return rest if found is None else found.unionByName(rest)
 
 
 def _standing(edges: DataFrame) -> DataFrame:
@@ -81,8 +177,7 @@ def _standing(edges: DataFrame) -> DataFrame:
     left = durable(edges.select("first", "leader"))
     stands = None
     while left.limit(1).count():
-        roots = durable(left.select(F.col("leader").alias("root")).distinct().join(
-            left.select(F.col("first").alias("root")).distinct(), "root", "left_anti"))
+        roots = durable(_roots(left))
         fallen = left.join(roots.withColumnRenamed("root", "leader"), "leader", "left_semi").select(F.col("first").alias("gone")).distinct()
         fallen = durable(fallen)
         stands = roots if stands is None else stands.unionByName(roots)
@@ -103,8 +198,9 @@ def near_duplicates(
     Keys are integers. Identical texts collapse first, so a group of copies of any size is one row from
     then on. Distinct texts that share a band fall into one bucket. Members of a bucket are dealt into
     blocks by hash, and pairs of blocks compare signatures inside tasks, which emit the pairs that may
-    reach the threshold (five standard errors below it). Each such pair is verified once, on whole
-    shingle sets. The number of jobs does not depend on the size of a bucket.
+    reach the threshold (five standard errors below it), each in the first band it shares. It is verified on whole
+    shingle sets, which are made from its texts inside the task and leave it for nowhere. The number of
+    jobs does not depend on the size of a bucket.
 
     A pair is missed only if no band agrees (1.5e-4 at the default threshold, less above it).
     """
@@ -113,26 +209,29 @@ def near_duplicates(
         F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     copies = long.groupBy(F.sha2("text", 256).alias("hash")).agg(
         F.min("key").alias("first"), F.any_value("text").alias("text"))
-    signed = copies.select("first", _signer(size, n_perm, seed)("text").alias("s"))
-    base = durable(signed.select("first", "s.*").filter(F.size("codes") > 0))
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(
-        i, F.slice("signature", i * rows + 1, rows)))
-    buckets = base.select("first", "signature", F.explode(band).alias("bucket"))
-    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = buckets.join(counts, "bucket").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int"))
+    base = _stored(copies.select("first", "hash", "text").mapInArrow(
+        signer(size, n_perm, seed), "first bigint, hash string, signature binary"))
+    buckets = base.select("first", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(
+        F.substring("signature", i * rows + 1, F.lit(rows))))).alias("band", "bucket"))
+    counts = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # Signatures travel with members of shared buckets only.
+    members = buckets.join(counts, ["band", "bucket"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    members = members.join(base.select("first", "signature"), "first").withColumn(
+        "own", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int"))
     # A member meets every block of its bucket, its own once.
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({
-        "lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    spans = met.groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("side", "first", "signature")).alias("members"))
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "band", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "first", "signature")
     least = threshold - 5 * (threshold * (1 - threshold) / n_perm) ** 0.5
-    pairs = _candidates(spans, least)
-    sets = base.select("first", "codes")
-    joined = pairs.join(sets, "first").join(sets.select(F.col("first").alias("leader"), F.col("codes").alias("other")), "leader")
-    common = F.size(F.array_intersect("codes", "other"))
-    jaccard = common / (F.size("codes") + F.size("other") - common)
-    edges = durable(joined.select("first", "leader", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold))
-    exact = long.join(copies.select("hash", "first"), F.sha2("text", 256) == F.col("hash")).select("key", "first")
+    pairs = _stored(_candidates(met, n_perm, rows, least))
+    named = long.withColumn("hash", F.sha2("text", 256))
+    ids = pairs.select("first").unionByName(pairs.select(F.col("leader").alias("first"))).distinct()
+    paired = base.select("first", "hash").join(ids, "first").withColumnRenamed("first", "key")
+    sets = _stored(named.join(paired, ["key", "hash"], "left_semi").groupBy(F.col("key").alias("first")).agg(
+        F.any_value("text").alias("text")))
+    edges = durable(_edges(pairs, sets, size, threshold))
+    named = named.drop("text")
+    exact = named.join(named.groupBy("hash").agg(F.min("key").alias("first")), "hash")
     same = exact.filter(F.col("key") != F.col("first")).select(
         "key", F.col("first").alias("duplicate_of"), F.lit(1.0).alias("jaccard"))
     stands = _standing(edges)
