@@ -39,3 +39,13 @@ def test_url_stream_keeps_one(spark):
     urls = contract.queries()["streamed_distinct_urls"](spark, SMALL)
     assert urls.count() == urls.select("url").distinct().count()
     assert feeds.distinct_urls is not None
+
+
+def test_url_feed_holds_every_url_and_nothing_else(spark):
+    from tidewire.plans.queries import audits
+    from tidewire.plans.standins import Inputs
+
+    x = Inputs(spark, SMALL)
+    feed = audits._url_feed(x)
+    assert feed.isStreaming and feed.columns == ["url"]
+    assert contract.queries()["streamed_distinct_urls"](spark, SMALL).count() == x.view("articles").select("url").distinct().count()
