@@ -10,6 +10,7 @@ from tidewire import fixed_values as fixed
 from tidewire.functions import columns as c
 from tidewire.operators import intervals, moments, series
 from tidewire.operators.testing import benjamini_hochberg
+from tidewire.session import durable
 
 Windows = Mapping[str, tuple[str, str] | None]
 
@@ -112,8 +113,11 @@ def label_fits(
     lags: Sequence[int] = (0,), extra_cell: Sequence[str] = (), control: str = "lvix",
 ) -> tuple[DataFrame, list[str]]:
     """The regressions of a whole grid of (window, freq, target, lag), and the names of its keys. The
-    panel has one row per day (and per ``extra_cell`` value); the grid multiplies days, not facts."""
+    panel has one row per day (and per ``extra_cell`` value); the grid multiplies days, not facts. The
+    panel is worked out once and written, as windows and both frequencies read it again."""
     news = [f"{p}_{e}" for e in labels for p in prefixes]
+    used = dict.fromkeys([*extra_cell, "date", *news, *targets, *filter(None, targets.values()), control])
+    panel = durable(panel.select(*used))
     base = [*extra_cell, "window", "target"]
     rows = enough_targets(per_target(in_windows(panel, windows), targets), base)
     both = both_frequencies(rows, base, mean=news, total=["y", "mkt"], last=[control])

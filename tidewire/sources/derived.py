@@ -24,7 +24,7 @@ from types import ModuleType
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewire.session import shared_folder
+from tidewire.session import durable, shared_folder
 from tidewire.sources.articles import in_spans
 
 MANIFEST = "path string, size bigint, changed timestamp, month date"
@@ -107,7 +107,7 @@ class DerivedTable:
         version, known = self.manifest()
         now = file_list(self.spark, self.path)
         if not version:
-            pairs = self._months_of(None)
+            pairs = durable(self._months_of(None))  # read twice below
             self._write(None)
             self._keep(1, now.join(pairs, "path"))
             return [r[0] for r in pairs.select("month").distinct().orderBy("month").collect()]
@@ -116,7 +116,7 @@ class DerivedTable:
         gone = known.join(now, same, "left_anti")
         if not fresh.select("path").unionByName(gone.select("path")).limit(1).count():
             return []
-        pairs = self._months_of(fresh)
+        pairs = durable(self._months_of(fresh))
         stale = sorted(r[0] for r in pairs.select("month").unionByName(gone.select("month")).distinct().collect() if r[0])
         self._write(stale)
         self._keep(version + 1, known.join(now, same, "left_semi").unionByName(fresh.join(pairs, "path")))
