@@ -21,19 +21,42 @@ def shingle_codes(text: str, size: int) -> np.ndarray:
         for k in range(size):
             code = code * np.uint64(0x9E3779B97F4A7C15) + points[k:len(code) + k].astype(np.uint64)
             code ^= code >> np.uint64(29)
-    return np.unique(code).view(np.int64)
+    code.sort()
+    return code[np.append(True, code[1:] != code[:-1])].view(np.int64)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back, so that later steps open only their columns."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def odd_sketch(codes: np.ndarray) -> bytes:
+    """One bit for each bin of the codes: whether it holds an odd number of them. The bins are a power of
+    two: one or two a code, for more than 2048 codes half of that, 256 at least. Two sketches differ in the odd bins of the
+    codes that are not in both."""
+    bins = 1 << max(8, min(len(codes).bit_length(), max(11, len(codes).bit_length() - 1)))
+    held = np.bincount(codes.view(np.uint64) & np.uint64(bins - 1), minlength=bins)
+    return np.packbits((held & 1).astype(np.uint8)).tobytes()
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def signer(size: int, n_perm: int, seed: int):
+def _stored(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it back, so that later steps open only their columns.
+    The shuffle files of the write go when it ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def signer(size: int, n_perm: int, seed: int, sketches: bool = False):
     """A function of batches (first, hash, text) to (first, hash, signature): ``n_perm`` bytes, the low ones
-    of min-hashes. Unequal minima share a byte once in 256, which adds candidates and loses none.
+    of min-hashes. Unequal minima share a byte once in 256, which adds candidates and loses none. On
+    request also n, the number of distinct shingles, and their odd sketch.
 
     One text at a time is cut into shingles, which stay inside the task; texts without any give no row.
     """
@@ -41,77 +64,142 @@ def signer(size: int, n_perm: int, seed: int):
     a = rng.integers(0, 1 << 32, n_perm, dtype=np.uint32) | np.uint32(1)
     b = rng.integers(0, 1 << 32, n_perm, dtype=np.uint32)
 
+    def minima(u: np.ndarray) -> np.ndarray:
+        low, many = np.empty(n_perm, np.uint32), max(1, (1 << 15) // len(u))  # as many hashes at once as the cache holds
+        for k in range(0, n_perm, many):
+            hashed = np.multiply(a[k:k + many, None], u)
+            hashed += b[k:k + many, None]
+            hashed.min(1, out=low[k:k + many])
+        return low
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = []
+            signed, counts, odd = [], [], []
             for t in batch.column("text"):
-                u = (shingle_codes(t.as_py(), size).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-                hashed, low = np.empty_like(u), np.empty(n_perm, np.uint32)
-                for k in range(n_perm if len(u) else 0):
-                    np.multiply(u, a[k], out=hashed)
-                    np.add(hashed, b[k], out=hashed)
-                    low[k] = hashed.min()
-                signed.append(low.astype(np.uint8).tobytes() if len(u) else None)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("first"), batch.column("hash"), pa.array(signed, pa.binary())], ["first", "hash", "signature"])
+                codes = shingle_codes(t.as_py(), size)
+                u = (codes.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                signed.append(minima(u).astype(np.uint8).tobytes() if len(u) else None)
+                if sketches:
+                    counts.append(len(u))
+                    odd.append(odd_sketch(codes))
+            out = {"first": batch.column("first"), "hash": batch.column("hash"), "signature": pa.array(signed, pa.binary())}
+            if sketches:
+                out |= {"n": pa.array(counts, pa.int64()), "sketch": pa.array(odd, pa.binary())}
+            out = pa.RecordBatch.from_arrays(list(out.values()), list(out))
             yield out.filter(out.column("signature").is_valid())
     return sign
 
 
-def _met(left: tuple, right: tuple, same: bool, band: int, rows: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pairs of two blocks (ids, signatures) whose first equal band is ``band`` and whose
-    signatures agree in a share of ``least`` or more. A pair thereby comes from one bucket only."""
-    one, two = [], []
-    for i in range(len(left[0])):
-        equal = right[1] == left[1][i]
-        bands = equal[:, :(band + 1) * rows].reshape(len(equal), band + 1, rows).all(2)
-        good = (equal.mean(1) >= least) & bands[:, band] & ~bands[:, :band].any(1)
-        good &= right[0] > left[0][i] if same else right[0] != left[0][i]
-        two.append(right[0][good])
-        one.append(np.full(len(two[-1]), left[0][i]))
-    return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (one, two))
+class _Sieve:
+    """Pairs of texts in one bucket that may reach the threshold, by their numbers of shingles and sketches.
 
+    A similarity of t leaves (1 - t) / (1 + t) of both sets together outside the common part, and the larger
+    set has at most 1 / t of the smaller one. The sketches of d differing shingles differ in d bins at most, and in
+    m / 2 * (1 - exp(-2 * d / m)) of m bins on average; a pair goes beyond five standard errors above that.
+    """
 
-def _candidates(met: DataFrame, n_perm: int, rows: int, least: float) -> DataFrame:
+    def __init__(self, threshold: float, room: int = 1 << 15):
+        self.threshold, self.room = threshold, room
+        self.share = (1 - threshold) / (1 + threshold)
+        self.folds = int(np.ceil(np.log2(1 / threshold)))
+        self.bounds: dict[tuple[int, int], np.ndarray] = {}
+
+    def bound(self, level: int, parts: int) -> np.ndarray:
+        """By d: the most bins that may differ in one of ``parts`` of a sketch of 2^level bins."""
+        if (level, parts) not in self.bounds:
+            bins = 1 << level
+            d = np.arange(int(self.share * (4 * bins) * (1 + 1 / self.threshold)) + 3)
+            mean, spread = bins / 2 * -np.expm1(-2 * d / bins) / parts, bins / 4 * -np.expm1(-4 * d / bins) / parts
+            self.bounds[level, parts] = np.minimum(d, mean + 5 * np.sqrt(spread)).astype(np.int32)
+        return self.bounds[level, parts]
+
+    def pairs(self, cells: np.ndarray, sides: np.ndarray, crossed: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> Iterator[tuple]:
+        """Positions (one, two), a part at a time. Rows are sorted by (cell, n); in crossed cells the sides must differ."""
+        rows, any_crossed = np.arange(len(n)), crossed.any()
+        ends = np.searchsorted((cells << 32) + n, (cells << 32) + np.floor(n / self.threshold + 1e-9).astype(np.int64), "right")
+        many = ends - rows - 1
+        level = np.array([len(x) for x in sketches]) * 8
+        for bins in np.unique(level[many > 0]).tolist():
+            # Sketches of this size, and larger ones folded to it: a partner is at most 1 / t as large.
+            table, at = [], np.zeros(len(n), np.int64)
+            for fold in range(self.folds + 1):
+                some = np.flatnonzero(level == bins << fold)
+                words = np.frombuffer(b"".join([sketches[i] for i in some]), np.uint64).reshape(len(some), 1 << fold, bins // 64)
+                at[some] = sum(map(len, table)) + np.arange(len(some))
+                table.append(np.bitwise_xor.reduce(words, axis=1))
+            table = np.concatenate(table)
+            parts = max(1, bins // 512)  # most pairs stand out in the first 512 bins
+            head = np.ascontiguousarray(table[:, :bins // 64 // parts].T)
+            with_any = np.flatnonzero((level == bins) & (many > 0))
+            stops = np.cumsum(many[with_any])
+            begin = 0
+            while begin < len(with_any):
+                stop = max(begin + 1, int(np.searchsorted(stops, (stops[begin - 1] if begin else 0) + self.room, "right")))
+                lefts = with_any[begin:stop]
+                one = np.repeat(lefts, many[lefts])
+                two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(many[lefts]) - many[lefts], many[lefts])
+                begin = stop
+                if any_crossed:
+                    good = ~crossed[one] | (sides[one] != sides[two])
+                    one, two = one[good], two[good]
+                out, x, y = (self.share * (n[one] + n[two]) + 1e-9).astype(np.int64), at[one], at[two]
+                differ = np.zeros(len(one), np.int32)
+                for word in head:
+                    differ += np.bitwise_count(word[x] ^ word[y])
+                good = np.flatnonzero(differ <= self.bound(bins.bit_length() - 1, parts)[out])
+                if parts > 1:
+                    differ = np.bitwise_count(table[x[good]] ^ table[y[good]]).sum(1, dtype=np.int32)
+                    good = good[differ <= self.bound(bins.bit_length() - 1, 1)[out[good]]]
+                if len(good):
+                    yield one[good], two[good]
+
+
+def _candidates(met: DataFrame, rows: int, threshold: float, batch: int = 4096) -> DataFrame:
     """(first, leader): pairs of a block pair that may reach the threshold, each once.
 
-    ``met`` is (band, bucket, lo, hi, side, first, signature), a row for each member of two blocks, or of
-    one with itself. Rows come sorted by block pair; a task holds one batch and one block pair.
+    ``met`` is (band, bucket, lo, hi, side, first, n, head, sketch), a row for each member of two blocks, or of
+    one with itself; ``head`` are the bands before the last of the turn. Rows come sorted by block pair; a task
+    holds one batch and one block pair. A pair comes from the first band that it shares only.
     """
     key = ["band", "bucket", "lo", "hi"]
-
-    def pairs(ids: np.ndarray, sides: np.ndarray, signs: np.ndarray, band: int, lo: int, hi: int):
-        left = (ids[sides == 0], signs[sides == 0])
-        right = left if lo == hi else (ids[sides == 1], signs[sides == 1])
-        return _met(left, right, lo == hi, band, rows, least)
+    columns = [*key, "side", "first", "n", "head", "sketch"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # parts of the block pair that the last batch ended in
-        last = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                one, two = pairs(*(np.concatenate(x) for x in zip(*held)), last[0], last[2], last[3])
+        sieve = _Sieve(threshold)
+
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            band, bucket, lo, hi, side, ids, n = (table.column(c).to_numpy().astype(np.int64) for c in columns[:7])
+            new = np.append(False, (np.diff(np.stack([band, bucket, lo, hi]), axis=1) != 0).any(0))
+            cells = np.cumsum(new)
+            order = np.lexsort((n, cells))
+            sketches = table.column("sketch").to_pylist()
+            heads = table.column("head").to_pylist()
+            heads = np.frombuffer(b"".join(heads), np.uint8).reshape(len(n), len(heads[0]) // rows, rows)
+            for one, two in sieve.pairs(cells, side[order], (lo != hi)[order], n[order], [sketches[i] for i in order]):
+                one, two = order[one], order[two]
+                known = (heads[one] == heads[two]).all(2) & (np.arange(heads.shape[1]) < band[one][:, None])
+                one, two = ids[one], ids[two]
+                good = ~known.any(1) & (one != two)
+                one, two = one[good], two[good]
                 if len(one):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["first", "leader"])
 
-        for batch in batches:
-            if not batch.num_rows:
+        held: list[pa.RecordBatch] = []  # whole block pairs, and the one that the last batch ended in
+        for part in batches:
+            held.append(part.select(columns))
+            if sum(x.num_rows for x in held) < batch:
                 continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key])
-            ids, sides = batch.column("first").to_numpy(), batch.column("side").to_numpy()
-            signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, n_perm)
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            for at, to in zip([0, *cuts], [*cuts, batch.num_rows]):
-                now = tuple(keys[:, at].tolist())
-                if now != last:
-                    yield from done()
-                    held.clear()
-                    last = now
-                held.append((ids[at:to], sides[at:to], signs[at:to]))
-        yield from done()
-
-    return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "first bigint, leader bigint")
+            table = pa.Table.from_batches(held)
+            ends = np.stack([table.column(c).to_numpy().astype(np.int64) for c in key])
+            cuts = np.flatnonzero((ends[:, 1:] != ends[:, :-1]).any(0))
+            cut = int(cuts[-1]) + 1 if len(cuts) else 0
+            if cut:
+                yield from found(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield from found(pa.Table.from_batches(held))
+
+    return met.repartition(*key).sortWithinPartitions(*key).select(*columns).mapInArrow(work, "first bigint, leader bigint")
 
 
 def _verified(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -129,7 +217,9 @@ def _verified(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
             found = []
             for x, y in zip(batch.column("text"), batch.column("other")):
                 one, two = codes("text", x.as_py()), codes("other", y.as_py())
-                common = len(np.intersect1d(one, two, assume_unique=True))
+                both = np.concatenate([one, two])
+                both.sort(kind="stable")  # merges two sorted runs
+                common = int((both[1:] == both[:-1]).sum())
                 found.append(common / (len(one) + len(two) - common))
             out = pa.RecordBatch.from_arrays(
                 [batch.column("first"), batch.column("leader"), pa.array(found, pa.float64())], ["first", "leader", "jaccard"])
@@ -190,46 +280,55 @@ def _standing(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(
     texts: DataFrame, key: str, text: str, size: int = 5, n_perm: int = 128, bands: int = 32,
-    threshold: float = 0.7, min_length: int = 20, seed: int = 1, block: int = 256,
+    threshold: float = 0.7, min_length: int = 20, seed: int = 1, block: int = 4096, turn: int = 4,
 ) -> DataFrame:
     """(key, duplicate_of, jaccard): texts at or above the threshold with an earlier text that stands,
     and the closest such text.
 
     Keys are integers. Identical texts collapse first, so a group of copies of any size is one row from
-    then on. Distinct texts that share a band fall into one bucket. Members of a bucket are dealt into
-    blocks by hash, and pairs of blocks compare signatures inside tasks, which emit the pairs that may
-    reach the threshold (five standard errors below it), each in the first band it shares. It is verified on whole
+    then on. Distinct texts that share a band fall into one bucket; ``turn`` bands are worked on at a time, as
+    the members of a bucket travel with their sketches. Members of a bucket above ``block`` are dealt into
+    blocks by hash. Blocks and pairs of them are compared inside tasks, which emit the pairs that may
+    reach the threshold (see ``_Sieve``), each in the first band it shares. It is verified on whole
     shingle sets, which are made from its texts inside the task and leave it for nowhere. The number of
     jobs does not depend on the size of a bucket.
 
-    A pair is missed only if no band agrees (1.5e-4 at the default threshold, less above it).
+    A pair is missed only if no band agrees (1.5e-4 at the default threshold, less above it) or its sketches
+    stand out by five standard errors (3e-7).
     """
     rows = n_perm // bands
     long = texts.filter(F.length(text) >= min_length).select(
         F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    copies = long.groupBy(F.sha2("text", 256).alias("hash")).agg(
-        F.min("key").alias("first"), F.any_value("text").alias("text"))
-    base = _stored(copies.select("first", "hash", "text").mapInArrow(
-        signer(size, n_perm, seed), "first bigint, hash string, signature binary"))
-    buckets = base.select("first", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(
-        F.substring("signature", i * rows + 1, F.lit(rows))))).alias("band", "bucket"))
-    counts = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    # Signatures travel with members of shared buckets only.
-    members = buckets.join(counts, ["band", "bucket"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    members = members.join(base.select("first", "signature"), "first").withColumn(
-        "own", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int"))
-    # A member meets every block of its bucket, its own once.
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "band", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "first", "signature")
-    least = threshold - 5 * (threshold * (1 - threshold) / n_perm) ** 0.5
-    pairs = _stored(_candidates(met, n_perm, rows, least))
     named = long.withColumn("hash", F.sha2("text", 256))
+    # Copies are signed where they are read, so that no text travels.
+    signed = named.select(F.col("key").alias("first"), "hash", "text").mapInArrow(
+        signer(size, n_perm, seed, sketches=True), "first bigint, hash string, signature binary, n bigint, sketch binary")
+    base = _stored(signed.groupBy("hash").agg(
+        F.min("first").alias("first"), *[F.any_value(c).alias(c) for c in ("signature", "n", "sketch")]))
+
+    def buckets(begin: int, end: int, *columns) -> DataFrame:
+        values = F.array(*[F.xxhash64(F.substring("signature", i * rows + 1, rows)) for i in range(begin, end)])
+        return base.select(*columns, F.posexplode(values).alias("band", "bucket")).withColumn("band", F.col("band") + begin)
+
+    large = _stored(buckets(0, bands).groupBy("band", "bucket").agg(F.count("*").alias("members")).filter(F.col("members") > block))
+    pairs = None
+    for begin in range(0, bands, turn):
+        end = min(begin + turn, bands)
+        head = F.substring("signature", 1, (end - 1) * rows).alias("head")
+        members = buckets(begin, end, "first", "n", head, "sketch").join(large, ["band", "bucket"], "left").withColumn(
+            "parts", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
+        members = members.withColumn("own", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int"))
+        # A member meets every block of its bucket, its own once.
+        met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+            "band", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"), "first", "n", "head", "sketch")
+        found = _stored(_candidates(met, rows, threshold))
+        pairs = found if pairs is None else pairs.unionByName(found)
     ids = pairs.select("first").unionByName(pairs.select(F.col("leader").alias("first"))).distinct()
     paired = base.select("first", "hash").join(ids, "first").withColumnRenamed("first", "key")
     sets = _stored(named.join(paired, ["key", "hash"], "left_semi").groupBy(F.col("key").alias("first")).agg(
         F.any_value("text").alias("text")))
-    edges = durable(_edges(pairs, sets, size, threshold))
+    edges = _edges(pairs, sets, size, threshold)
     named = named.drop("text")
     exact = named.join(named.groupBy("hash").agg(F.min("key").alias("first")), "hash")
     same = exact.filter(F.col("key") != F.col("first")).select(
