@@ -258,24 +258,26 @@ def _edges(pairs: DataFrame, sets: DataFrame, size: int, threshold: float, early
     return rest if found is None else found.unionByName(rest)
 
 
-def _standing(edges: DataFrame) -> DataFrame:
-    """(first): the texts of ``edges`` (first, leader) that no earlier standing text is close to.
+def _standing(edges: DataFrame) -> DataFrame | None:
+    """(root): the leaders in ``edges`` (first, leader) that no earlier standing text is close to; None without edges.
 
     A text with no undecided earlier neighbour stands; its later neighbours fall with all their edges.
-    Each turn decides the earliest text of every cluster left, on the table of edges alone.
+    Each turn decides the earliest text of every cluster left, on the table of edges alone. A text may stand
+    after all that it leads have fallen to others, so those that stand are the leaders that never fall.
     """
     left = durable(edges.select("first", "leader"))
-    stands = None
+    gone = None
     while left.limit(1).count():
         roots = durable(_roots(left))
         fallen = left.join(roots.withColumnRenamed("root", "leader"), "leader", "left_semi").select(F.col("first").alias("gone")).distinct()
         fallen = durable(fallen)
-        stands = roots if stands is None else stands.unionByName(roots)
+        gone = fallen if gone is None else gone.unionByName(fallen)
         rest = left.join(fallen.withColumnRenamed("gone", "leader"), "leader", "left_anti").join(
             fallen.withColumnRenamed("gone", "first"), "first", "left_anti").join(roots.withColumnRenamed("root", "leader"), "leader", "left_anti")
-        # A text whose earlier neighbours have all fallen, and which has no edge left, stands too; it leads nothing.
         left = durable(rest)
-    return stands
+    if gone is None:
+        return None
+    return edges.select(F.col("leader").alias("root")).distinct().join(gone.withColumnRenamed("gone", "root"), "root", "left_anti")
 
 
 def near_duplicates(
